@@ -90,12 +90,14 @@ def beta_ppf(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low[live], high[live] = np.where(miss < 0, xl, low[live]), np.where(miss >= 0, xl, high[live])
         with np.errstate(all="ignore"):
             slope = np.exp((al - 1) * np.log(xl) + (bl - 1) * np.log1p(-xl) - norm[live])
-            new = xl - miss / slope
+            step = miss / slope
         lo, hi = low[live], high[live]
+        settled = (miss == 0) | (np.abs(step) <= 4e-16 * xl) | (hi - lo <= 4e-16 * hi)
         half = np.where((lo > 0) & (hi > 4 * lo), np.sqrt(lo * hi), np.where(lo > 0, (lo + hi) / 2, hi / 8))
+        new = xl - step
         new = np.where(np.isfinite(new) & (new > lo) & (new < hi), new, half)
-        x[live] = new
-        live = live[(np.abs(new - xl) > 4e-16 * new) & (hi - lo > 1e-16 * hi) & (miss != 0)]
+        x[live] = np.where(settled, xl, new)
+        live = live[~settled]
     x = np.where(p <= 0, 0.0, np.where(p >= 1, 1.0, x))
     out[ok] = x
     return out

@@ -69,15 +69,14 @@ def inverted_index_to_text(index: str) -> Column:
     Gaps become further spaces, the later key wins a shared position, and an
     index of fewer than two words or null gives null.
     """
+    # transform over a one-element array binds a name, so that the sorted list is made once
     return F.expr(f"""
     case when size({index}) > 1 then
-      aggregate(
-        array_sort(flatten(transform(map_entries({index}), (e, k) -> transform(e.value, p -> named_struct('p', p, 'k', -k, 'w', e.key))))),
-        named_struct('at', 0, 'last', -1, 'words', cast(array() as array<string>)),
-        (acc, x) -> if(x.p = acc.last, acc,
-          named_struct('at', x.p, 'last', x.p, 'words', array_append(acc.words, concat(repeat(' ', x.p - acc.at), x.w)))),
-        acc -> array_join(acc.words, '')
-      )
+      get(transform(
+        array(array_sort(flatten(transform(map_entries({index}), (e, k) -> transform(e.value, p -> named_struct('p', p, 'k', -k, 'w', e.key)))))),
+        s -> get(transform(
+          array(filter(s, (e, i) -> i = 0 or e.p <> get(s, i - 1).p)),
+          a -> array_join(transform(a, (e, i) -> concat(repeat(' ', e.p - if(i = 0, 0, get(a, i - 1).p)), e.w)), '')), 0)), 0)
     end""")
 
 

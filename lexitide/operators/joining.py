@@ -1,11 +1,8 @@
-"""Joins whose broadcast side is measured first."""
+"""Joins with small sides."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
 
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -19,6 +16,6 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Dat
     return left.join(right, on, how)
 
 
-def cross_with_one(left: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Every row with the columns of a table that is one row by construction (a global aggregate)."""
-    return left.join(F.broadcast(one_row))
+def with_scalars(left: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``left`` with the columns of a table that is one row by construction (a global aggregate), as scalar subqueries."""
+    return left.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})

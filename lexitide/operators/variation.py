@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import AnalysisConfig
 from ..functions.beta import with_quantiles
 from ..functions.numbers import ratio_or
-from .joining import cross_with_one, join_small
+from .joining import join_small, with_scalars
 
 REASONS = ("insufficient_years", "no_statistical_power", "no_fold_change")
 
@@ -31,7 +31,7 @@ def power(totals: DataFrame, sizes: DataFrame, config: AnalysisConfig) -> DataFr
     plus one have no estimate and no power.
     """
     alpha = 1 - config.confidence_level
-    joined = cross_with_one(totals, sizes)
+    joined = with_scalars(totals, sizes)
     out = with_quantiles(joined, F.col("total_frequency") + 1, F.col("processed") - F.col("total_frequency") + 1, {"_q": 1 - alpha / 2})
     upper = F.when(~F.isnan("_q"), F.col("_q") * F.col("total"))
     enough = F.coalesce(upper > config.min_estimated_total, F.lit(False)) | (F.col("processed") == 0)
@@ -47,7 +47,7 @@ def fold_range(bounds: DataFrame, year_words: DataFrame, config: AnalysisConfig)
     scale, half = config.per_k_words, config.year_alpha / 2
     years = year_words.agg(F.count("*").alias("observed"), F.sum((F.col("year_word_count") > 0).cast("int")).alias("with_words"))
     seen = bounds.where("year_word_count > 0").groupBy("ngram").agg(F.count("*").alias("present"), F.max("freq_upper").alias("u"), F.min(F.when(F.col("freq_lower") > 0, F.col("freq_lower"))).alias("l"))
-    joined = cross_with_one(seen, years)
+    joined = with_scalars(seen, years)
     absent = F.col("present") < F.col("with_words")
     upper = F.when(absent, F.greatest("u", F.lit((1 - half) * scale))).otherwise(F.col("u"))
     lower = F.when(absent, F.least("l", F.lit(half * scale))).otherwise(F.col("l"))
@@ -66,7 +66,7 @@ def prune(totals: DataFrame, bounds: DataFrame, year_words: DataFrame, sizes: Da
         .when(~F.col("has_power"), REASONS[1])
         .when(F.col("max_possible_fold") < config.min_fold_change, REASONS[2])
     )
-    return cross_with_one(judged, years).select("ngram", "total_frequency", "years_present", F.when(F.col("enough_years"), reason).alias("reason"))
+    return with_scalars(judged, years).select("ngram", "total_frequency", "years_present", F.when(F.col("enough_years"), reason).alias("reason"))
 
 
 def reason_counts(pruned: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def final_statistics(bounds: DataFrame, kept: DataFrame, sizes: DataFrame, confi
         F.count("*").cast("int").alias("years_present"), F.sum("count").alias("total_frequency"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(y, f)))).alias("yearly_frequencies"),
     ).where("years_present >= 2")
-    joined = cross_with_one(years.join(kept.select("ngram"), "ngram", "left_semi"), sizes)
+    joined = with_scalars(years.join(kept.select("ngram"), "ngram", "left_semi"), sizes)
     joined = with_quantiles(joined, F.col("total_frequency") + 1, F.greatest(F.lit(1), F.col("processed") - F.col("total_frequency") + 1), {"_q": alpha / 2})
     low = F.when((F.col("processed") > 0) & (F.col("total") > 0), F.col("_q") * F.col("total")).otherwise(F.col("total_frequency").cast("double"))
     peak, trough, infinite = F.col("peak"), F.col("trough"), float("inf")

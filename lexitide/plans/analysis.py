@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
 from ..operators import counting, variation
-from ..operators.joining import join_small
+from ..operators.joining import join_small, with_scalars
 from ..operators.staging import staged
 from ..sources import sinks
 
@@ -45,7 +45,7 @@ class TemporalAnalysis:
     def sizes(self) -> DataFrame:
         """One row: documents processed and documents eligible."""
         processed = self.totals.agg(F.coalesce(F.sum("year_doc_count"), F.lit(0)).alias("processed"))
-        return processed.crossJoin(F.broadcast(counting.eligible(self.articles)))  # one row each
+        return staged(with_scalars(processed, counting.eligible(self.articles)), "sizes")
 
     @cached_property
     def occurrences(self) -> DataFrame:
