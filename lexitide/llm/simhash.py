@@ -149,21 +149,31 @@ def _hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _shard_links(node: np.ndarray, fps: np.ndarray, shard: np.ndarray, radius: int, direct: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links of many shards: a spanning forest, or each item's nearest earlier neighbour."""
+    """Links of many shards that connect what chains of neighbours connect.
+
+    With ``direct`` both ends of a link are neighbours: each item and its
+    nearest earlier one, and one pair for each two groups still apart.
+    """
     forest, sizes = BKForest(fps, shard), np.bincount(shard)[shard]
     cuts = np.cumsum(sizes) // _PAIRS
-    parent, near = np.arange(len(fps)), []
+    parent, pairs = np.arange(len(fps)), []
     for chunk in np.split(np.arange(len(fps)), np.flatnonzero(np.diff(cuts)) + 1):
         q, at, d = forest.search(chunk, radius)
-        if direct:
-            order = np.lexsort((at, d, q))
-            q, at = q[order], at[order]
-            lead = np.concatenate(([True], q[1:] != q[:-1])) if len(q) else np.zeros(0, bool)
-            near.append((q[lead], at[lead]))
-        else:
+        if not direct:
             _hook(parent, q, at)
+            continue
+        order = np.lexsort((at, d, q))
+        q, at = q[order], at[order]
+        lead = np.concatenate(([True], q[1:] != q[:-1])) if len(q) else np.zeros(0, bool)
+        while lead.any():
+            pairs.append((q[lead], at[lead]))
+            _hook(parent, q[lead], at[lead])
+            apart = parent[q] != parent[at]
+            q, at = q[apart], at[apart]
+            lead = np.zeros(len(q), bool)
+            lead[np.unique(np.maximum(parent[q], parent[at]), return_index=True)[1]] = True
     if direct:
-        q, at = (np.concatenate(x) for x in zip(*near))
+        q, at = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
         return node[q], node[at]
     tied = np.flatnonzero(parent != np.arange(len(fps)))
     return node[tied], node[parent[tied]]
@@ -174,7 +184,7 @@ def links(items: DataFrame, radius: int = 4, blocks: int = 6, tree_limit: int =
 
     The links connect exactly the items that chains of near fingerprints
     connect.  With ``direct`` every link joins two items that are themselves
-    near: each item and its nearest earlier one in every shard.
+    near, each item's nearest earlier one in every shard among them.
     """
     masks = block_masks(radius, blocks)
     keyed = items.select("node", F.posexplode("fp").alias("which", "f")).select(
