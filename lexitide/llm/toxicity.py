@@ -21,14 +21,14 @@ from .common import text_of
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """``rows_per_class`` bounds the labelled rows learnt from, ``features`` the n-grams weighed."""
+    """``rows_per_class`` bounds the labelled rows learnt from, ``features`` the n-grams weighed: those whose shares of the classes differ most surely."""
 
     orders: tuple[int, ...] = (3, 4, 5)
     bits: int = 20
     rows_per_class: int = 6000
-    features: int = 20_000
+    features: int = 8_000
     smoothing: float = 1.0
-    ridge: float = 1.0
+    ridge: float = 60.0
     steps: int = 60
     folds: int = 5
 
@@ -93,7 +93,8 @@ def _fit(indptr: np.ndarray, cols: np.ndarray, y: np.ndarray, ratio: np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> tuple[np.ndarray, float]:
     """(weights of the n-gram buckets, intercept) learnt from a sample of labelled rows outside the held-out fold.
 
-    Without a row of either class all weights are zero and every score 0.5.
+    Without rows of both classes nothing can be learnt: all weights are zero and
+    every score is below 0.5, so no document is rejected.
     """
     size = 1 << config.bits
     sample = F.broadcast(_sample(labels.select("doc_id", "toxic"), config))  # at most 2 x rows_per_class narrow rows
@@ -111,15 +112,16 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(c[0, i : i + 50_000]), pa.array(c[1, i : i + 50_000])], ["at", "n0", "n1"])
 
     # at most one row a bucket, whatever the corpus
-    counted = chosen.mapInArrow(count, "at long, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("at < 0 or n0 + n1 > 1").toArrow()
+    counted = chosen.mapInArrow(count, "at long, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("at < 0 or n0 + n1 > 2").toArrow()
     at, n0, n1 = (counted.column(c).to_numpy() for c in ("at", "n0", "n1"))
     none = np.zeros(size, np.float32)
     if not len(at) or min(n0[at < 0].sum(), n1[at < 0].sum()) == 0:
-        return none, 0.0
+        return none, -1.0
     d0, d1 = n0[at < 0].sum(), n1[at < 0].sum()
     at, n0, n1 = at[at >= 0], n0[at >= 0], n1[at >= 0]
     ratio = np.log((n1 + config.smoothing) / (d1 + 2 * config.smoothing)) - np.log((n0 + config.smoothing) / (d0 + 2 * config.smoothing))
-    best = np.lexsort((at, -np.abs(ratio) * np.sqrt(n0 + n1)))[: config.features]
+    spread = np.sqrt((n0 + n1 + 1) / (d0 + d1) * (1 / d0 + 1 / d1))  # of the difference of shares if the classes were alike
+    best = np.lexsort((at, -np.abs(n1 / d1 - n0 / d0) / spread))[: config.features]
     at, ratio = at[best], ratio[best]
     slot = np.full(size, -1, np.int32)
     slot[at] = np.arange(len(at))
