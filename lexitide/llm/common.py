@@ -7,9 +7,15 @@ recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +57,25 @@ def fits(df: DataFrame, rows: int) -> bool:
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int = 500_000) -> DataFrame:
     """Join narrow rows to ``left``: broadcast after counting them, else shuffle both sides."""
     return left.join(F.broadcast(right) if fits(right, rows) else right, on, how)
+
+
+def slices(batch: pa.RecordBatch, *columns: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes of some text or binary columns: a worker turns no more than that into Python objects at once."""
+    if not batch.num_rows:
+        yield batch
+        return
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc

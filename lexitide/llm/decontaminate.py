@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 
 MIN_MATCH, COVERAGE, BLOCK_BYTES = 5, 0.5, 16_000_000
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -143,7 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(*shared.value)
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, 1)):
                 got = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                     for i, matched, tiles in items.cover(text):
@@ -164,7 +164,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MI
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(*shared.value)
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, where)):
                 texts = batch.column(where).cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array([not any(m >= coverage * items.sizes[i] for i, m, _ in items.cover(t or b"")) for t in texts], pa.bool_()))
 

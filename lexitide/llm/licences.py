@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES, templa
         known = index.postings.keys() | starts.keys()
         names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "matches", "labels", "score"]
         types = [pa.int64()] * 5 + [pa.list_(pa.string()), pa.map_(pa.string(), pa.float64()), pa.list_(pa.string()), pa.float64()]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 words = words_of(text)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_checked, materialize, text_of
+from .common import join_checked, materialize, slices, text_of
 from .components import connected_components
 
 TREE_LIMIT = 4096
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seeds: tuple[int, ...] = (42,)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             out = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 parts = shingles(text, width) if features == "shingles" else list(dict.fromkeys(words_of(text)))
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
 
 def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sets = [np.unique(hashes(shingles(t, width), 42) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "marks"])
 
@@ -245,7 +245,7 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
 def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, 3)):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, slices, text_of
 
 _SPAN = 1024
 
@@ -42,7 +42,7 @@ def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = encoding(vocabulary), Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             seen.update(len(own.encode_ordinary(t)) for t in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "docs"])
 

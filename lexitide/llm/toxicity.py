@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts, n = Grams(config.orders, config.bits), np.zeros((2, size), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[y, grams(text)] += 1
                 n[y] += 1
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(config.orders, config.bits)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             found = [slot[grams(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[f >= 0].tobytes() for f in found], pa.binary())], ["toxic", "cols"])
 
@@ -152,7 +152,7 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, config: Toxici
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (w, b), grams = model.value, Grams(config.orders, config.bits)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             z = np.array([w[grams(t)].sum(dtype=np.float64) for t in batch.column(1).to_pylist()]) + b
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
@@ -168,7 +168,7 @@ def keep_clean(docs: DataFrame, weights: np.ndarray, intercept: float, config: T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (w, b), grams = model.value, Grams(config.orders, config.bits)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, where)):
             z = [w[grams(t or "")].sum(dtype=np.float64) + b for t in batch.column(where).to_pylist()]
             yield batch.filter(pa.array([x < 0 for x in z], pa.bool_()))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 REFERENCE_BYTES = 8_000_000
 MIN_PAGES, CONSTANT = 3, 0.8
@@ -321,7 +321,7 @@ def _votes(rows: DataFrame) -> DataFrame:
     """(host, slot, n): for text nodes of the reference, how many different pages repeat the text of the node aligned; slot -1 counts all different pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             votes: Counter[tuple[str, int]] = Counter()
             matcher = Matcher()
             for host, page, reference in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -348,7 +348,7 @@ def _votes(rows: DataFrame) -> DataFrame:
 
 def _extract(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             texts, matcher = [], Matcher()
             for page, reference, slots in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
                 root = parse(page)
