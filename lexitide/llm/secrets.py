@@ -17,7 +17,8 @@ from pyspark.sql.utils import AnalysisException
 
 from .common import fits, materialize, text_of
 
-BROADCAST_BLOBS = 100_000
+#: About 8 MB of keys: a small increment. Beyond it texts move to their keys.
+BROADCAST_BLOBS = 20_000
 
 
 @dataclass(frozen=True)
