@@ -54,6 +54,22 @@ def year_counts(occurrences_: DataFrame) -> DataFrame:
     return occurrences_.groupBy("ngram", "publication_year").agg(F.count("*").alias("count"))
 
 
+def tally(articles: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """(ngram, publication_year, count, words): :func:`year_counts` and the totals in one pass over the texts.
+
+    Each eligible article also counts once under a null n-gram, with its words;
+    under a null year too if it has no year or no words.
+    """
+    body = F.when(F.col("publication_year").isNotNull(), text.clean_text(F.col("abstract"))).otherwise(F.lit(""))
+    base = articles.where(F.col("abstract").isNotNull() & (F.col("abstract") != "")).select("publication_year", body.alias("clean"))
+    split = text.split_contractions(F.col("clean")) if config.contractions else F.col("clean")
+    tokens_ = text.words(split)
+    tokens_ = text.without_stop_words(tokens_) if config.stop_words else tokens_
+    made = base.select(F.when(F.col("clean") != "", F.col("publication_year")).alias("publication_year"), text.word_count(F.col("clean")).alias("n"), tokens_.alias("tokens"))
+    rows = made.select("publication_year", "n", F.explode(F.concat(text.ngrams(F.col("tokens"), *config.ngram_range), F.array(F.lit(None).cast("string")))).alias("ngram"))
+    return rows.groupBy("ngram", "publication_year").agg(F.count("*").alias("count"), F.sum(F.when(F.col("ngram").isNull(), F.col("n"))).alias("words"))
+
+
 def global_counts(counts: DataFrame) -> DataFrame:
     """(ngram, total_frequency, years_present)."""
     return counts.groupBy("ngram").agg(F.sum("count").alias("total_frequency"), F.count("*").cast("int").alias("years_present"))

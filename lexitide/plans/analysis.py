@@ -29,23 +29,36 @@ class TemporalAnalysis:
     order: DataFrame | None = None
     lemmas: DataFrame | None = None
 
+    @cached_property
+    def chosen(self) -> DataFrame:
+        own = self.articles.select("article_id", "publication_year", "abstract")
+        return own if self.order is None else own.join(self.order.select("article_id"), "article_id", "left_semi")
+
     @cached_property
     def clean(self) -> DataFrame:
-        chosen = self.articles.select("article_id", "publication_year", "abstract")
-        if self.order is not None:
-            chosen = chosen.join(self.order.select("article_id"), "article_id", "left_semi")
-        return counting.cleaned(chosen)
+        return counting.cleaned(self.chosen)
+
+    @cached_property
+    def tallied(self) -> DataFrame:
+        """Counts and totals of one pass; the texts are read once for both."""
+        return staged(counting.tally(self.chosen, self.config), "ngram-years")
 
     @cached_property
     def totals(self) -> DataFrame:
         """One row a year, small whatever the corpus."""
-        return staged(counting.year_totals(self.clean), "year-totals")
+        if self.lemmas is not None:
+            return staged(counting.year_totals(self.clean), "year-totals")
+        return self.tallied.where("ngram is null and publication_year is not null").select("publication_year", F.col("count").alias("year_doc_count"), F.col("words").alias("year_word_count"))
 
     @cached_property
     def sizes(self) -> DataFrame:
         """One row: documents processed and documents eligible."""
         processed = self.totals.agg(F.coalesce(F.sum("year_doc_count"), F.lit(0)).alias("processed"))
-        return staged(with_scalars(processed, counting.eligible(self.articles)), "sizes")
+        if self.lemmas is None and self.order is None:
+            eligible = self.tallied.where("ngram is null").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
+        else:
+            eligible = counting.eligible(self.articles)
+        return staged(with_scalars(processed, eligible), "sizes")
 
     @cached_property
     def occurrences(self) -> DataFrame:
@@ -53,7 +66,9 @@ class TemporalAnalysis:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return staged(counting.year_counts(self.occurrences), "ngram-years")
+        if self.lemmas is not None:
+            return staged(counting.year_counts(self.occurrences), "ngram-years")
+        return self.tallied.where("ngram is not null").select("ngram", "publication_year", "count")
 
     @cached_property
     def frequencies(self) -> DataFrame:
