@@ -124,6 +124,32 @@ def ngram_articles(spark, sf_dir):
     return counting.article_mapping(_analysis(spark, sf_dir).occurrences)
 
 
+@query(f"with {_WORDS}, p as (select distinct g, doc_id from t) select g as ngram, string_agg(doc_id::varchar, ',' order by doc_id) as article_ids from p group by 1 having count(*) <= 50")
+def rare_ngram_article_sets(spark, sf_dir):
+    """Sorted id arrays of n-grams of at most 50 articles; frequent ones are too long for an array."""
+    pairs = counting.article_mapping(_analysis(spark, sf_dir).occurrences)
+    rare = pairs.groupBy("ngram").agg(F.count("*").alias("n")).where("n <= 50").select("ngram")
+    return counting.article_sets(pairs.join(rare, "ngram", "left_semi")).select("ngram", F.array_join(F.col("article_ids").cast("array<string>"), ",").alias("article_ids"))
+
+
+@query(f"with {_WORDS} select regexp_replace(g, '(ing|ed)$', '') as ngram, y as publication_year, count(*) as count from t where regexp_replace(g, '(ing|ed)$', '') <> '' group by 1, 2")
+def lemmatised_counts(spark, sf_dir):
+    found = articles(spark, sf_dir)
+    said = counting.cleaned(found).select(F.explode(text.words(F.col("clean"))).alias("word")).distinct()
+    lemmas = said.select("word", F.regexp_replace("word", "(ing|ed)$", "").alias("lemma"))
+    own = TemporalAnalysis(found, CONFIG, lemmas=lemmas)
+    return own.counts.where("ngram <> ''")
+
+
+@query("select count(*) as with_year, sum(o_totalprice)::bigint as price, max(cast(year(o_orderdate) as int)) as last_year from orders")
+def scalar_totals(spark, sf_dir):
+    from ..operators.joining import with_scalars
+
+    orders = _table(spark, sf_dir, "orders")
+    counted = orders.agg(F.count("*").alias("with_year"), F.floor(F.sum("o_totalprice") + 0.5).alias("price"))
+    return with_scalars(counted, orders.agg(F.max(F.year("o_orderdate")).alias("last_year")))
+
+
 @query()
 def year_bounds(spark, sf_dir):
     return _analysis(spark, sf_dir).bounds.select("ngram", "publication_year", "count", "freq_lower", "freq_upper")

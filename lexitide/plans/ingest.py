@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import IngestConfig
@@ -14,37 +14,45 @@ from ..sources import pages, sinks
 _ENTITIES = ("authors", "institutions", "topics")
 
 
-def compile_works(spark: SparkSession, source: str, target: str, config: IngestConfig = IngestConfig(), pattern: str | None = None, genders: DataFrame | None = None) -> None:
+def compile_works(spark: SparkSession, source: str, target: str, config: IngestConfig = IngestConfig(), pattern: str | None = None, genders: DataFrame | None = None) -> dict:
     """Adds the works of all unprocessed pages below ``source`` to the tables below ``target``.
 
     Articles that are stored already stay as they are, their children too.  The
     manifest of processed files is written last, so a run that is cut off is
     repeated and adds nothing twice.  Records that can't be normalised go to
-    ``target``/quarantine.
+    ``target``/quarantine.  Returns :func:`add_works`' observations, or nothing
+    where no file is new.
     """
     manifest = f"{target}/manifest"
     listed = pages.page_files(spark, source, pattern)
     # the file listing and the records' own paths name files alike
     due = staged(listed.join(pages.read_manifest(spark, manifest), "path", "left_anti"), "due-files")
     if due.isEmpty():
-        return
+        return {}
     works = pages.read_works(spark, source, pattern, processed=pages.read_manifest(spark, manifest))
-    add_works(works, target, config, genders)
+    seen = add_works(works, target, config, genders)
     due.write.mode("append").parquet(manifest)
+    return seen
 
 
-def add_works(works: DataFrame, target: str, config: IngestConfig = IngestConfig(), genders: DataFrame | None = None) -> None:
-    """Adds work records (with _file and _ordinal) to the tables below ``target``."""
+def add_works(works: DataFrame, target: str, config: IngestConfig = IngestConfig(), genders: DataFrame | None = None) -> dict:
+    """Adds work records (with _file and _ordinal) to the tables below ``target``.
+
+    Returns what was observed on the way: articles added and open locations looked at.
+    """
     spark = works.sparkSession
     good, bad = normalize.winners(works, config)
     stored = sinks.read_table(spark, target, "articles").select("article_id")
-    good = staged(good.join(stored, "article_id", "left_anti"), "works")
+    seen = Observation("ingest")
+    counted = good.join(stored, "article_id", "left_anti").observe(seen, F.count("*").alias("articles"), F.sum(normalize.open_locations_seen(F.col("locations"))).alias("open_locations"))
+    good = staged(counted, "works")
     if config.on_bad_record == "quarantine":
         bad.select(F.col("_file").alias("file"), F.col("_ordinal").alias("ordinal"), "id", "problem").write.mode("append").parquet(f"{target}/quarantine")
     made = normalize.tables(good, config, genders)
     # articles last: until they are stored, a repeated run adds whatever of their children is missing
     for name in sorted(made, key=lambda n: (n == "articles", n not in _ENTITIES, n)):
         sinks.append_new(target, name, made[name])
+    return seen.get
 
 
 def compile_concepts(spark: SparkSession, source: str, target: str, config: IngestConfig = IngestConfig(), pattern: str | None = None) -> None:

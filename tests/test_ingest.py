@@ -41,7 +41,7 @@ def test_compile_works(spark, tmp_path):
         work(1, language="fr"), work(1), work(1, title="second"), work(2, publication_year=2011), work(3, language=None), work(4, primary_topic=None),
         work(5, primary_location=None, abstract_inverted_index={"single": [0]}), work(6, primary_location={"source": None}, abstract_inverted_index=None, publication_year=2012),
     ])
-    ingest.compile_works(spark, source, target, IngestConfig(enable_references=True))
+    assert ingest.compile_works(spark, source, target, IngestConfig(enable_references=True)) == {"articles": 3, "open_locations": 6}
     articles = {r[0]: r for r in table(spark, target, "articles")}
     assert set(articles) == {1, 5, 6} and articles[1][1] == "title 1" and articles[1][10] == "open1" and articles[1][12] == 11
     assert articles[5][12] == 0 and articles[6][12] == 0 and articles[1][7] == [2, 2] and articles[1][4:7] == (2, 33, 3312)
@@ -102,31 +102,18 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "p")).count() == 5
 
 
-ANSWERS = {"1": 3, "2": 12}
-
-
-def answer(address):
-    """A stand-in for the API: subfield 2 is large and has two topics."""
-    from urllib.parse import parse_qs, urlparse
-
-    parts = urlparse(address)
-    asked = parse_qs(parts.query)
-    filters = dict(f.split(":", 1) for f in asked["filter"][0].split(","))
-    if parts.path.endswith("/topics"):
-        return {"results": [{"id": f"{BASE}T{k}"} for k in (1, 2)] if asked["cursor"][0] == "*" else [], "meta": {"next_cursor": "x"}}
-    n = ANSWERS[filters["primary_topic.subfield.id"]] if "primary_topic.subfield.id" in filters else 6
-    n = n if filters["open_access.oa_status"] == "gold" else 0
-    at = 0 if asked.get("cursor", ["*"])[0] == "*" else int(asked["cursor"][0])
-    rows = [{"id": i} for i in range(at, min(n, at + int(asked["per-page"][0])))]
-    return {"results": rows, "meta": {"count": n, "next_cursor": str(at + len(rows)) if rows else None}}
-
-
 def test_rest_source(spark):
+    import api_stub
+
     from lexitide.sources.rest import WorksReader, WorksSource
 
-    options = {"subfields": "1,2", "first_year": "2024", "last_year": "2025", "split_at": "10", "page": "2", "opener": "test_ingest:answer"}
-    reader = WorksReader(options)
-    shards = reader.partitions()
-    assert [(s.year, s.subfield, s.topic) for s in shards] == [(y, f, t) for y in (2025, 2024) for f, t in (("1", None), ("2", "T1"), ("2", "T2"))]
-    assert [len(list(reader.read(s))) for s in shards[:2]] == [3, 6]
-    assert issubclass(WorksSource, object) and WorksSource.name() == "works_api"
+    options = {"endpoint": "https://api.example", "first_year": "2024", "last_year": "2025", "split_at": "10", "page": "2", "opener": "api_stub:answer"}
+    shards = WorksReader(options).partitions()
+    assert [(s.year, s.subfield, s.topic) for s in shards] == [(y, f, t) for y in (2025, 2024) for f, t in (("1", None), ("2", "1"), ("2", "2"))]
+    assert [len(list(WorksReader(options).read(s))) for s in shards[:2]] == [3, 6]
+    spark.sparkContext.addPyFile(api_stub.__file__)
+    spark.dataSource.register(WorksSource)
+    works = spark.read.format("works_api").options(**options).load()
+    assert works.count() == 30
+    recent = works.where("year = 2025 and subfield = '2' and oa_status in ('gold', 'green')")
+    assert recent.rdd.getNumPartitions() == 2 and recent.count() == 12
