@@ -26,7 +26,7 @@ from .common import materialize, slices
 REFERENCE_BYTES = 8_000_000
 MIN_PAGES, CONSTANT = 3, 0.8
 
-_TAG = re.compile(r"""(?s)<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+_TAG = re.compile(r"""(?s)<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>=]+|=\s*(?:"[^"]*"|'[^']*')?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,7 +35,7 @@ _ENDS_P = _BLOCKS - frozenset(("body", "html", "button", "option", "optgroup", "
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _DROP = frozenset("nav footer aside form fieldset button select dialog menu head header".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended related reply replies respond responses share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+_DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle adsense banner breadcrumb breadcrumbs comment commentform commentlist comments consent cookie cookiebanner cookiebar cookieconsent cookies copyright disqus footer gdpr header login masthead mainmenu menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended related reply replies respond responses share sharing sidebar sidenav signup social sponsor sponsored submenu subscribe subscription toolbar topbar topnav widget widgets".split())
 _KEEP = frozenset(("html", "body", "main"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -64,7 +64,7 @@ def _unwanted(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in _DROP_ROLES:
         return True
-    words = [w.lower() for w in re.findall(r"[A-Za-z][a-z]*|[A-Z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}")]
+    words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}")]
     found = {w for before, w in zip(["", *words], words) if w in _DROP_WORDS and before not in ("has", "with", "no", "without")}
     if tag == "article" and not inside:
         return bool(found & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "sponsored", "related"})

@@ -236,6 +236,9 @@ def test_malformed_html():
     assert text("</div></p>stray<article class=post><header><h1>H</h1><p>by</p></header>t</article>") == ["H", "t"]
     assert text("<p>" * 3000 + "deep") == ["deep"] and text("<div>" * 3000 + "deep") == ["deep"]
     assert text('<article><p title="a > b">q</p></article>') == ["q"]
+    assert text("<article><p title=it's>one</p><p>it's two</p></article>") == ["one", "it's two"]
+    assert text('<p title="open>x</p><p>y</p>') == ["x", "y"] and text("<a b=" * 20_000) == [("<a b=" * 20_000).strip()]
+    assert text('<div class="siteNAV">n</div><ol class="commentlist"><li>c</ol><div id="mainMenu">m</div><p>body</p>') == ["body"]
 
 
 def test_tree_matching_is_optimal():
