@@ -16,6 +16,7 @@ from ..functions import ids, text
 from ..functions.numbers import page_count
 from ..operators import counting, dedupe, normalize, sampling, shards, variation
 from ..sources import pages, sinks
+from ..sources.scan import scan
 from .analysis import TemporalAnalysis
 from .ingest import table_counts
 
@@ -43,7 +44,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str, language: str | None = "en") -> DataFrame:
     """(article_id, publication_year, language, source, abstract)."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    docs = scan(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang", "source", "text"])
     years = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("publication_year"))
     out = docs.join(years, "doc_id").select(F.col("doc_id").alias("article_id"), "publication_year", F.col("lang").alias("language"), "source", F.col("text").alias("abstract"))
     return out.where(F.col("language") == language) if language else out
@@ -255,7 +256,7 @@ def missing_pages(spark, sf_dir):
 
 @query(f"with w as (select doc_id, string_split({_CLEAN}, ' ') as w from documents) select doc_id, array_to_string(w, ' ') as abstract, len(w)::int - 1 as last_position from w where len(list_distinct(w)) > 1")
 def inverted_index_roundtrip(spark, sf_dir):
-    said = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text.clean_text(F.col("text")), " ")).alias("p", "w"))
+    said = scan(spark, f"{sf_dir}/documents.parquet", ["doc_id", "text"]).select("doc_id", F.posexplode(F.split(text.clean_text(F.col("text")), " ")).alias("p", "w"))
     index = said.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("idx"))
     return index.where(F.size("idx") > 1).select("doc_id", text.inverted_index_to_text("idx").alias("abstract"), text.last_position(F.col("idx")).alias("last_position"))
 
