@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scan import scan
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder; a temporary one only where none is set (tests)."""
@@ -42,7 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan(spark, f"{sf_dir}/{name}.parquet") if name in ("documents", "pages") else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_of(column: str = "text") -> Column:
