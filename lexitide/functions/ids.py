@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BASE = "https://openalex.org/"
-ARXIV = r"https?://arxiv\.org/abs/([a-z0-9.]+)"
-REPOSITORY = r"(?:https?://)?(?:www\.)?github\.com/([^/\s.,(){}]+/[^/\s.,(){}]+)"
+ARXIV = "https?://arxiv[.]org/abs/([.0-9a-z]+)"
+_PART = r"[^\s/.,{}()]+"
+REPOSITORY = f"github[.]com/({_PART}/{_PART})"
 
 
 def strip_prefix(url: Column, prefix: str) -> Column:

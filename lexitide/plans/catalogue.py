@@ -222,7 +222,7 @@ def first_wins_authors(spark, sf_dir):
 def first_wins_affiliations(spark, sf_dir):
     people = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("author_id"), F.col("c_nationkey").cast("long").alias("institution_id"), F.col("c_mktsegment").alias("type"))
     rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_id"), F.col("o_custkey").alias("author_id")).join(people, "author_id")
-    return dedupe.first_wins(rows.select("article_id", "author_id", "institution_id", "type"), ["article_id", "author_id", "institution_id"], ["type"])
+    return dedupe.first_wins(rows, ["author_id", "institution_id", "article_id"], ["type"])
 
 
 _STORED = "select l_orderkey, l_partkey, min(l_discount) as score from lineitem where l_returnflag = 'R' group by 1, 2"
@@ -332,7 +332,7 @@ def gender_normalise(spark, sf_dir):
     return named.select(F.col("c_custkey").alias("author_id"), ids.gender_code(F.col("gender")).alias("gender"))
 
 
-@query("select doc_id, nullif(regexp_extract('see https://arxiv.org/abs/' || case when doc_id % 2 = 0 then '21' || doc_id || '.0' || doc_id || 'v2' else '' end || '/x', 'https?://arxiv\\.org/abs/([a-z0-9.]+)', 1), '') as arxiv from documents")
+@query("select doc_id, nullif(regexp_extract('see https://arxiv.org/abs/' || case when doc_id % 2 = 0 then '21' || doc_id || '.0' || doc_id || 'v2' else '' end || '/x', 'https?://arxiv[.]org/abs/([.0-9a-z]+)', 1), '') as arxiv from documents")
 def arxiv_ids(spark, sf_dir):
     n = F.col("doc_id").cast("string")
     address = F.concat(F.lit("see https://arxiv.org/abs/"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("21"), n, F.lit(".0"), n, F.lit("v2"))).otherwise(F.lit("")), F.lit("/x"))
