@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import release, slices, text_of
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
         for i in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(c[0, i : i + 50_000]), pa.array(c[1, i : i + 50_000])], ["at", "n0", "n1"])
 
-    # at most one row a bucket, whatever the corpus
+    # at most one row a bucket, whatever the corpus; below, at most ``features`` ids a sampled row
     counted = chosen.mapInArrow(count, "at long, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("at < 0 or n0 + n1 > 2").toArrow()
     at, n0, n1 = (counted.column(c).to_numpy() for c in ("at", "n0", "n1"))
     none = np.zeros(size, np.float32)
@@ -136,6 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     cols = [np.frombuffer(x, np.int32) for x in drawn.column("cols").to_pylist()]
     indptr = np.concatenate(([0], np.cumsum([len(x) for x in cols])))
     w, b = _fit(indptr, np.concatenate(cols), drawn.column("toxic").to_numpy(), ratio, config.ridge, config.steps)
+    del counted, drawn, cols
+    release()
     weights = none.copy()
     weights[at] = w
     return weights, float(b)
