@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,12 @@ from .components import connected_components
 TREE_LIMIT = 4096
 #: Pairs a search holds at once, and items a forest does.
 _PAIRS, _ITEMS = 1_000_000, 100_000
+#: Shingles that OFTEN texts of one in SAMPLE hold, FREQUENT of them at most, come last in the order; it speeds the search and changes no result.
+SAMPLE, OFTEN, FREQUENT = 16, 3, 1 << 18
+#: Texts with one shingle in common beyond which they are linked one to the next first.
+RUN = 8
+#: Keeps rounding from excluding a pair at the threshold.
+SLACK = 1e-6
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -234,21 +241,76 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The sorted 64-bit hashes of the shingles; texts without words share one of their own."""
+    return np.unique(hashes(shingles(text, width) or [b""], 42))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
+        yield batch, [shingle_set(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+
+
 def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1)):
-            sets = [np.unique(hashes(shingles(t, width), 42) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "marks"])
+        for batch, sets in _sets(batches, width):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "marks"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, marks binary")
 
 
+def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ranks) of the shingles that a sample of the texts repeats, by hash; the rarest has rank 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, width):
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
+
+    seen = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).select("node", "text").mapInArrow(run, "token long")
+    often = seen.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
+    tokens = often.column(0).to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], (len(tokens) - order).astype(np.int64)
+
+
+def _prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(token, node, size, pos): the first shingles of each text's set, rarest first.
+
+    In any one order of all shingles, two sets of at least the similarity meet
+    in their first n - ceil(similarity * n) + 1.
+    """
+    often, ranks = _frequent(texts, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, width):
+            firsts = []
+            for s in sets:
+                rank = np.zeros(len(s), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    rank = np.where(often[at] == s, ranks[at], 0)
+                firsts.append(s[np.argsort(rank, kind="stable")[: len(s) - ceil(similarity * len(s) - SLACK) + 1]])
+            if not sets:
+                continue
+            counts = [len(f) for f in firsts]
+            columns = [
+                np.concatenate(firsts).view(np.int64),
+                np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts),
+                np.repeat(np.array([len(s) for s in sets], np.int32), counts),
+                np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in counts]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "size", "pos"])
+
+    return texts.select("node", "text").mapInArrow(run, "token long, node long, size int, pos int")
+
+
 def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 2, 3)):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
@@ -257,23 +319,57 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def verified_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (1, 2, 3, 4), radius: int = 4, blocks: int = 6) -> DataFrame:
+def _verified(near: DataFrame, items: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The (a, b) whose texts' shingle sets are similar enough."""
+    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    texts = join_checked(items.select("node", "text"), wanted, "node", "left_semi")
+    sets = materialize(_shingle_sets(texts, width).groupBy("node").agg(F.max("marks").alias("marks")), "shingle-sets")
+    pairs = near.join(sets.select(F.col("node").alias("a"), F.col("marks").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("marks").alias("y")), "b")
+    return materialize(_similar(pairs.select("a", "b", "x", "y"), similarity), "similar-pairs")
+
+
+def similar_components(items: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, text) -> (node, root) of the texts that chains of similar pairs connect; all such pairs count.
+
+    Long runs of texts with a shingle in common are first linked one to the
+    next, by size, and verified: what that connects needs no comparison within.
+    Then every pair still apart that can be similar by its sizes and by the
+    number of shingles shared in the prefixes is verified.
+    """
+    ratio = similarity / (1 + similarity)
+    need = F.ceil(ratio * (F.col("size") + F.col("size2")) - SLACK)  # shared shingles of a similar pair
+    sizes = F.least("size", "size2") >= similarity * F.greatest("size", "size2") - SLACK
+    alike = Window.partitionBy("token")
+    shared = _prefixes(items, width, similarity).withColumns({"lo": F.min("node").over(alike), "hi": F.max("node").over(alike)})
+    shared = materialize(shared.where("lo <> hi").select("token", "node", "size", "pos").distinct(), "shared-shingles")
+    ordered = alike.orderBy("size", "node")
+    runs = shared.withColumns({"run": F.count("*").over(alike), **{f"{c}2": F.lag(c).over(ordered) for c in ("node", "size", "pos")}}).where((F.col("run") > RUN) & F.col("node2").isNotNull())
+    reach = 1 + F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) >= need
+    chain = materialize(runs.where(sizes & reach).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "chained-pairs")
+    linked = materialize(connected_components(_verified(chain, items, width, similarity)), "linked")
+    parts = join_checked(shared.drop("pos"), linked, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    parts = parts.withColumns({"lo": F.min("part").over(alike), "hi": F.max("part").over(alike)}).where("lo <> hi")
+    parts = materialize(parts.select("token", "node", "size", "part"), "parts-apart")
+    other = parts.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "part")])
+    # of the first p shingles of one of two similar sets, all but (its size - need) are in the other; the set whose prefix ends first has them in both prefixes
+    least = F.least(*[F.col(c) - F.ceil(similarity * F.col(c) - SLACK) + 1 - (F.col(c) - need) for c in ("size", "size2")])
+    met = parts.join(other, "token").where((F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & sizes)
+    met = met.groupBy("node", "node2", "size", "size2").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    near = materialize(met.select(F.col("node").alias("a"), F.col("node2").alias("b")).join(chain, ["a", "b"], "left_anti"), "near-pairs")
+    return connected_components(linked.toDF("a", "b").unionByName(_verified(near, items, width, similarity)))
+
+
+def verified_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
-    Several SimHashes of the set of words, each searched with its own BK-trees,
-    propose each text's nearest earlier ones; a pair links only if its sets of
-    ``width``-word shingles (hashed to 32 bits) are similar enough.  Equal texts
-    are one item, told apart by a 64-bit hash.  Null text counts as empty.
+    Candidates come from a prefix filter on the rarest ``width``-word shingles
+    (hashed to 64 bits), which loses no such pair, and link only if their whole
+    sets are similar enough.  Equal texts are one item, told apart by a 64-bit
+    hash.  Null text counts as empty; texts without words are alike.
     component_id is the smallest doc_id of the class, null if none has one.
     """
     items = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("node"), text_of().alias("text"))
     owners = materialize(items.select("doc_id", "node"), "owners")
-    prints = fingerprints(items, width, seeds, "words", id_column="node").dropDuplicates(["node"])
-    near = materialize(links(materialize(prints, "word-fingerprints"), radius, blocks, direct=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    texts = join_checked(items.select("node", "text"), wanted, "node", "left_semi")
-    sets = materialize(_shingle_sets(texts, width).groupBy("node").agg(F.max("marks").alias("marks")), "shingle-sets")
-    pairs = near.join(sets.select(F.col("node").alias("a"), F.col("marks").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("marks").alias("y")), "b")
-    roots = connected_components(_similar(pairs.select("a", "b", "x", "y"), similarity))
+    roots = similar_components(items, width, similarity)
     rooted = materialize(owners.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "rooted")
     return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")

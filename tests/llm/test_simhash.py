@@ -142,3 +142,33 @@ def test_verified_recall(spark):
     assert sum(got[a] == got[b] for a, b in similar) >= 0.9 * len(similar) and len(similar) > 50
     want = classes(sets, similar)
     assert all(want[i] == want[c] for i, c in got.items())  # nothing is linked that isn't similar
+
+
+def test_verified_pairs_beyond_the_nearest(spark):
+    """Texts of one word set have one word-set fingerprint: none may stand for the others."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(12):
+        w = rng.sample(vocabulary, 200)
+        rows.append((i, " ".join(w)))
+        w[100], w[101] = w[101], w[100]
+        rows.append((100 + i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in simhash.verified_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+
+
+def test_verified_pairs_of_hot_shingles(spark):
+    """Long runs with a shingle in common: some of a family, some only near its edge, some apart."""
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(100), rng.randint(0, 4)):
+            w[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join([*base[:30], *[f"y{rng.randrange(10**9)}" for _ in range(rng.randint(0, 10))]])) for i in range(40)]
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    want = classes(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert {r.doc_id: r.component_id for r in simhash.verified_duplicates(docs_of(spark, rows)).collect()} == want
+    assert 2 < len(set(want.values())) < 90
