@@ -172,3 +172,25 @@ def test_verified_pairs_of_hot_shingles(spark):
     want = classes(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     assert {r.doc_id: r.component_id for r in simhash.verified_duplicates(docs_of(spark, rows)).collect()} == want
     assert 2 < len(set(want.values())) < 90
+
+
+@pytest.mark.parametrize("length", [60, 300, 1500])
+def test_added_and_cut_paragraphs(spark, length):
+    """Copies with words added at the end, in the middle, or cut, down to a similarity of 0.8, are all found."""
+    rng, rows = random.Random(length), []
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    n = length - 4
+    for k in range(20):
+        base = new(length)
+        for kind, j in enumerate((0.82, 0.9)):
+            more, at = int(n / j) - n, rng.randrange(length // 4, length // 2)
+            shown = int(n / (j + 0.01)) - n - 4  # an insertion also breaks the shingles across it
+            rows += [(1000 * k + 10 * kind + 1, " ".join(base + new(more))), (1000 * k + 10 * kind + 2, " ".join(base[: length - int(n * (1 - j))]))]
+            if shown > 0:
+                rows.append((1000 * k + 10 * kind + 3, " ".join(base[:at] + new(shown) + base[at:])))
+        rows.append((1000 * k, " ".join(base)))
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    planted = [(i // 1000 * 1000, i) for i in sets if i % 1000]
+    similar = [(a, b) for a, b in planted if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in simhash.verified_duplicates(docs_of(spark, rows)).collect()}
+    assert [p for p in similar if got[p[0]] != got[p[1]]] == [] and len(similar) >= 80
