@@ -194,3 +194,31 @@ def test_added_and_cut_paragraphs(spark, length):
     similar = [(a, b) for a, b in planted if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     got = {r.doc_id: r.component_id for r in simhash.verified_duplicates(docs_of(spark, rows)).collect()}
     assert [p for p in similar if got[p[0]] != got[p[1]]] == [] and len(similar) >= 80
+
+
+def test_verified_recall_of_different_texts(spark):
+    """Every pair of different texts of sf0.1, equal ones counted once."""
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").select("doc_id", "text")
+    ids = {}
+    for r in docs.collect():
+        ids.setdefault(r.text or "", []).append(r.doc_id)
+    sets = {}
+    for t, i in ids.items():
+        w = t.encode().lower().split()
+        sets[min(i)] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    where, both = {}, {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    for v in where.values():
+        for k, b in enumerate(v):
+            for a in v[:k]:
+                both[a, b] = both.get((a, b), 0) + 1
+    similar = [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    want = classes(sets, similar)
+    got = {r.doc_id: r.component_id for r in simhash.verified_duplicates(docs).collect()}
+    assert len(similar) == 48 and [p for p in similar if got[p[0]] != got[p[1]]] == []
+    least = {}
+    for t, i in ids.items():
+        least[want[min(i)]] = min(least.get(want[min(i)], min(i)), *i)
+    assert got == {d: least[want[min(i)]] for i in ids.values() for d in i}
