@@ -16,11 +16,11 @@ PREFIX = 64
 BROADCAST_KEYS = 500_000
 
 
-def duplicate_groups(docs: DataFrame, prefix: int = PREFIX, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def duplicate_groups(docs: DataFrame, prefix: int = PREFIX, broadcast_keys: int = BROADCAST_KEYS, digests: bool = False) -> DataFrame:
     """(doc_id, head, full, keep_id, group_size, kept) of every row; equal texts form a group.
 
     head is the prefix hash; full the hex SHA-256 of the text, null where the
-    refinement never had to read it.
+    refinement never had to read it, unless ``digests`` asks for those too.
 
     Null text counts as empty.  The largest doc_id of a group is its keep_id,
     null if no row has one; exactly one row of a group is kept, also where a
@@ -39,13 +39,14 @@ def duplicate_groups(docs: DataFrame, prefix: int = PREFIX, broadcast_keys: int
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), length.alias("len"), start.alias("head"))
     if fits(heads, broadcast_keys):
         rows = rows.join(F.broadcast(heads), ["len", "head"], "left")
-        full = F.when(F.col("again"), F.sha2("text", 256))
+        again = F.coalesce("again", F.lit(False))
     else:
-        full = F.sha2("text", 256)
-    keyed = materialize(rows.select("doc_id", "len", "head", full.alias("full")), "keys")
-    alone = keyed.where("full is null").select("doc_id", "head", "full", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+        again = F.lit(True)
+    full = F.sha2("text", 256) if digests else F.when(again, F.sha2("text", 256))
+    keyed = materialize(rows.select("doc_id", "len", "head", again.alias("again"), full.alias("full")), "keys")
+    alone = keyed.where("not again").select("doc_id", "head", "full", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     # repeated ids are counted, not listed: a group's rows meet only in counts
-    each = keyed.where("full is not null").groupBy("len", "head", "full", "doc_id").agg(F.count("*").alias("copies"))
+    each = keyed.where("again").groupBy("len", "head", "full", "doc_id").agg(F.count("*").alias("copies"))
     groups = each.groupBy("len", "head", "full").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     copies = each.join(groups, ["len", "head", "full"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return alone.unionByName(copies.select("doc_id", "head", "full", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept")))

@@ -63,13 +63,8 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    groups = exact_dedup.duplicate_groups(docs)
-    # rows that the refinement never hashed are alone in their group; only the contract's digest needs their texts
-    known = groups.where("full is not null").select("doc_id", "keep_id", "group_size", "kept", F.col("full").alias("text_sha256"))
-    rest = groups.where("full is null").select("doc_id", "keep_id", "group_size", "kept")
-    digests = docs.select(F.col("doc_id").cast("long"), F.sha2(text_of(), 256).alias("text_sha256"))
-    return known.unionByName(rest.join(digests, "doc_id"))
+    groups = exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), digests=True)
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.col("full").alias("text_sha256"))
 
 
 OP5_SQL = """

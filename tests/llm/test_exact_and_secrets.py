@@ -40,6 +40,14 @@ def test_an_id_with_two_texts_loses_neither(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(9, "a"), (5, "b"), (None, "c")], key=str)
 
 
+def test_query_keeps_null_and_repeated_ids(spark, tmp_path):
+    rows = AWKWARD + [(50, "a"), (50, "bb"), (None, "ccc")]
+    docs_of(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_exact_dedup(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text_sha256) for r in got) == sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert [(r.keep_id, r.group_size, r.kept) for r in got if r.text_sha256 == hashlib.sha256(b"ccc").hexdigest()] == [(None, 1, True)]
+
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
