@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitide.llm import decontaminate, exact_dedup, pieces, simhash, toxicity
-from lexitide.llm.common import fits, materialize, table
+from lexitide.llm.common import fits, materialize, table, text_of
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the row of the smallest doc_id stays."""
+    """Of each class of near copies, the row of the smallest doc_id stays; nulls come last, of one doc_id's texts that of the smallest hash stays."""
     classes = simhash.verified_duplicates(docs)
-    gone = materialize(classes.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(F.broadcast(gone) if fits(gone, 500_000) else gone, "doc_id", "left_anti")
+    gone = materialize(classes.where("not kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct(), "near-copies")
+    near = F.broadcast(gone) if fits(gone, 500_000) else gone
+    return docs.join(near, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_node")), "left_anti")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -360,16 +360,20 @@ def similar_components(items: DataFrame, width: int, similarity: float) -> DataF
 
 
 def verified_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
+    """(doc_id, node, component_id, kept): texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
     Candidates come from a prefix filter on the rarest ``width``-word shingles
     (hashed to 64 bits), which loses no such pair, and link only if their whole
     sets are similar enough.  Equal texts are one item, told apart by a 64-bit
     hash.  Null text counts as empty; texts without words are alike.
-    component_id is the smallest doc_id of the class, null if none has one.
+    component_id is the smallest doc_id of the class, null if none has one; node
+    is the text's hash, and kept marks the rows of one doc_id and text that
+    stands for the class: a row of component_id, of the smallest hash.
     """
     items = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("node"), text_of().alias("text"))
     owners = materialize(items.select("doc_id", "node"), "owners")
     roots = similar_components(items, width, similarity)
-    rooted = materialize(owners.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "rooted")
-    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+    rooted = materialize(owners.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    return rooted.join(first, "root").select("doc_id", "node", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))

@@ -61,3 +61,13 @@ def test_stages_keep_columns_and_bear_awkward_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = materialize(stage(spark, empty, f"{DATA}/sf0.001"), "stage").select(*docs_of(spark, []).columns)
         assert empty.count() == 0
+
+
+def test_near_copies_by_id_and_text(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = lambda k: " ".join([*base, *[f"x{k}"]])
+    rows = [(1, near(1)), (5, near(2)), (5, "another text that stays"), (None, near(3)), (None, "and one more"), (7, f"z {near(4)[3:]}"), (7, f"z {near(5)[3:]}")]
+    kept = corpus_pipeline.near_copies(spark, docs_of(spark, rows), "").collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(str(r) for r in (rows[0], rows[2], rows[4]))
+    alone = corpus_pipeline.near_copies(spark, docs_of(spark, [(7, near(1)), (7, near(2)), (None, "b"), (None, "c")]), "").collect()
+    assert [r.doc_id for r in alone].count(7) == 1 and len(alone) == 3
