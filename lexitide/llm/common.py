@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from ..operators.staging import new_path, staged
 from ..sources.scan import scan
 
 materialize = staged
-__all__ = ["fits", "join_checked", "materialize", "new_path", "release", "slices", "table", "text_of"]
+__all__ = ["fits", "held", "join_checked", "materialize", "new_path", "release", "slices", "table", "text_of", "tokens_in"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def held(docs: DataFrame, **keys: Column) -> DataFrame:
+    """(held, keys): all columns in one struct, so that no name of theirs meets a key's; ``select("held.*")`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), *[k.alias(name) for name, k in keys.items()])
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most so many rows; reads no more of it than that."""
     return df.limit(rows + 1).count() <= rows
@@ -54,6 +60,16 @@ def slices(batch: pa.RecordBatch, *columns: int, size: int = 2_000_000) -> Itera
             yield batch.slice(i, j - i)
 
 
+def tokens_in(text: bytes, token: re.Pattern, gap: re.Pattern, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The tokens of a text, some ``size`` bytes of it at a time; ``gap`` finds a place between tokens."""
+    at = 0
+    while at < len(text):
+        cut = gap.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield token.findall(text, at, end)
+        at = end
+
+
 def release() -> None:
     """Gives freed memory back to the system: Python workers outlive their tasks."""
     gc.collect()

@@ -72,18 +72,19 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seeds: tuple[int, ...] = (42,), features: str = "shingles", id_column: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 4, seeds: tuple[int, ...] = (42,), id_column: str = "doc_id") -> DataFrame:
     """(id_column, fp array of signed longs, one for each seed).
 
-    ``features="shingles"`` takes runs of ``width`` words with repeats,
-    ``"words"`` the set of words.
+    Each is taken over all runs of ``width`` words, repeats included.  Null
+    text counts as empty; texts without words have 0.  Null ids stay, repeated
+    rows repeat, other columns are ignored.  No rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
             out = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                parts = shingles(text, width) if features == "shingles" else list(dict.fromkeys(words_of(text)))
+                parts = shingles(text, width)
                 out.append([majority(hashes(parts, s)) for s in seeds])
             flat = np.array(out, np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(seeds)), pa.int32()), pa.array(flat))
@@ -101,6 +102,14 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def blocks_for(items: int, radius: int = 4, shard: int = 16) -> int:
+    """The least number of blocks, ``radius`` + 2 at least, by which that many evenly spread fingerprints make shards of about ``shard`` or fewer."""
+    blocks = radius + 2
+    while blocks < 16 and items >> (64 * (blocks - radius) // blocks) > shard:
+        blocks += 1
+    return blocks
+
+
 class BKForest:
     """The BK-trees of many shards in one array, built and searched level by level."""
 
@@ -186,14 +195,16 @@ def _shard_links(node: np.ndarray, fps: np.ndarray, shard: np.ndarray, radius: i
     return node[tied], node[parent[tied]]
 
 
-def links(items: DataFrame, radius: int = 4, blocks: int = 6, tree_limit: int = TREE_LIMIT, direct: bool = False) -> DataFrame:
+def links(items: DataFrame, radius: int = 4, blocks: int | None = None, tree_limit: int = TREE_LIMIT, direct: bool = False) -> DataFrame:
     """(node, fp array) of distinct items -> (a, b) links between items within the radius.
 
     The links connect exactly the items that chains of near fingerprints
     connect.  With ``direct`` every link joins two items that are themselves
-    near, each item's nearest earlier one in every shard among them.
+    near, each item's nearest earlier one in every shard among them.  Items
+    need not be few: unless given, ``blocks`` follows from their number.  A
+    repeated link may occur; no items give no rows; other columns are ignored.
     """
-    masks = block_masks(radius, blocks)
+    masks = block_masks(radius, blocks or blocks_for(items.count(), radius))
     keyed = items.select("node", F.posexplode("fp").alias("which", "f")).select(
         "node", "f", F.explode(F.array(*[F.struct((F.col("which") * len(masks) + i).alias("c"), F.col("f").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("s")
     ).select("node", "f", "s.c", "s.k")
@@ -225,7 +236,7 @@ def links(items: DataFrame, radius: int = 4, blocks: int = 6, tree_limit: int =
     return shards.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int = 6, tree_limit: int = TREE_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int | None = None, tree_limit: int = TREE_LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) of every row: fingerprints at most ``radius`` bits apart link.
 
     component_id is the smallest doc_id reachable over links, a document's own
@@ -274,8 +285,8 @@ def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], (len(tokens) - order).astype(np.int64)
 
 
-def _prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(token, node, size, pos): the first shingles of each text's set, rarest first.
+def _marked(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, fp, size, firsts) in one pass over the texts: SimHash fingerprint, size of the shingle set and its first shingles, rarest first.
 
     In any one order of all shingles, two sets of at least the similarity meet
     in their first n - ceil(similarity * n) + 1.
@@ -283,26 +294,23 @@ def _prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     often, ranks = _frequent(texts, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, width):
-            firsts = []
-            for s in sets:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            prints, sizes, firsts = [], [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                h = hashes(shingles(text, width), 42)
+                prints.append(majority(h))
+                s = np.unique(h) if len(h) else shingle_set(b"", width)
                 rank = np.zeros(len(s), np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     rank = np.where(often[at] == s, ranks[at], 0)
                 firsts.append(s[np.argsort(rank, kind="stable")[: len(s) - ceil(similarity * len(s) - SLACK) + 1]])
-            if not sets:
-                continue
-            counts = [len(f) for f in firsts]
-            columns = [
-                np.concatenate(firsts).view(np.int64),
-                np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts),
-                np.repeat(np.array([len(s) for s in sets], np.int32), counts),
-                np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in counts]),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "size", "pos"])
+                sizes.append(len(s))
+            ends = np.concatenate(([0], np.cumsum([len(f) for f in firsts])))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["node", "fp", "size", "firsts"])
 
-    return texts.select("node", "text").mapInArrow(run, "token long, node long, size int, pos int")
+    return texts.select("node", "text").mapInArrow(run, "node long, fp long, size int, firsts array<long>")
 
 
 def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -328,26 +336,35 @@ def _verified(near: DataFrame, items: DataFrame, width: int, similarity: float)
     return materialize(_similar(pairs.select("a", "b", "x", "y"), similarity), "similar-pairs")
 
 
-def similar_components(items: DataFrame, width: int, similarity: float) -> DataFrame:
+def similar_components(items: DataFrame, width: int, similarity: float, radius: int = 4) -> DataFrame:
     """(node, text) -> (node, root) of the texts that chains of similar pairs connect; all such pairs count.
 
-    Long runs of texts with a shingle in common are first linked one to the
-    next, by size, and verified: what that connects needs no comparison within.
-    Then every pair still apart that can be similar by its sizes and by the
-    number of shingles shared in the prefixes is verified.
+    First texts whose fingerprints are within ``radius`` bits are verified, as
+    the BK-trees find them.  Fingerprints that near miss most pairs at the
+    threshold, so every pair still apart that can be similar by its sizes and by
+    the number of shingles shared in the prefixes is verified too; long runs of
+    texts with a shingle in common are linked one to the next for that, by size.
     """
     ratio = similarity / (1 + similarity)
     need = F.ceil(ratio * (F.col("size") + F.col("size2")) - SLACK)  # shared shingles of a similar pair
     sizes = F.least("size", "size2") >= similarity * F.greatest("size", "size2") - SLACK
     alike = Window.partitionBy("token")
-    shared = _prefixes(items, width, similarity).withColumns({"lo": F.min("node").over(alike), "hi": F.max("node").over(alike)})
-    shared = materialize(shared.where("lo <> hi").select("token", "node", "size", "pos").distinct(), "shared-shingles")
+    marked = materialize(_marked(items, width, similarity), "marked-texts")
+    close = links(materialize(marked.select("node", F.array("fp").alias("fp")).distinct(), "prints"), radius, direct=True)
+    close = materialize(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close-pairs")
+    verified = _verified(close, items, width, similarity)
+    grouped = materialize(connected_components(verified), "near-prints")
+    tokens = marked.select("node", "size", F.posexplode("firsts").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+    shared = tokens.withColumns({"lo": F.min("node").over(alike), "hi": F.max("node").over(alike)})
+    shared = join_checked(shared.where("lo <> hi").select("token", "node", "size", "pos").distinct(), grouped, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    shared = materialize(shared, "shared-shingles")
     ordered = alike.orderBy("size", "node")
-    runs = shared.withColumns({"run": F.count("*").over(alike), **{f"{c}2": F.lag(c).over(ordered) for c in ("node", "size", "pos")}}).where((F.col("run") > RUN) & F.col("node2").isNotNull())
+    runs = shared.withColumns({"run": F.count("*").over(alike), **{f"{c}2": F.lag(c).over(ordered) for c in ("node", "size", "pos", "part")}}).where((F.col("run") > RUN) & (F.col("part") != F.col("part2")))
     reach = 1 + F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) >= need
-    chain = materialize(runs.where(sizes & reach).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "chained-pairs")
-    linked = materialize(connected_components(_verified(chain, items, width, similarity)), "linked")
-    parts = join_checked(shared.drop("pos"), linked, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    chain = materialize(runs.where(sizes & reach).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(close, ["a", "b"], "left_anti"), "chained-pairs")
+    verified = verified.unionByName(_verified(chain, items, width, similarity))
+    linked = materialize(connected_components(verified), "linked")
+    parts = join_checked(shared.drop("pos", "part"), linked, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     parts = parts.withColumns({"lo": F.min("part").over(alike), "hi": F.max("part").over(alike)}).where("lo <> hi")
     parts = materialize(parts.select("token", "node", "size", "part"), "parts-apart")
     other = parts.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "part")])
@@ -355,20 +372,23 @@ def similar_components(items: DataFrame, width: int, similarity: float) -> DataF
     least = F.least(*[F.col(c) - F.ceil(similarity * F.col(c) - SLACK) + 1 - (F.col(c) - need) for c in ("size", "size2")])
     met = parts.join(other, "token").where((F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & sizes)
     met = met.groupBy("node", "node2", "size", "size2").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    near = materialize(met.select(F.col("node").alias("a"), F.col("node2").alias("b")).join(chain, ["a", "b"], "left_anti"), "near-pairs")
-    return connected_components(linked.toDF("a", "b").unionByName(_verified(near, items, width, similarity)))
+    near = met.select(F.col("node").alias("a"), F.col("node2").alias("b")).join(chain.unionByName(close), ["a", "b"], "left_anti")
+    return connected_components(linked.toDF("a", "b").unionByName(_verified(materialize(near, "near-pairs"), items, width, similarity)))
 
 
 def verified_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, node, component_id, kept): texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
-    Candidates come from a prefix filter on the rarest ``width``-word shingles
-    (hashed to 64 bits), which loses no such pair, and link only if their whole
+    Candidates come from SimHash fingerprints in BK-trees and, for what those
+    can't reach, from a prefix filter on the rarest ``width``-word shingles
+    (hashed to 64 bits), which loses no such pair; they link only if their whole
     sets are similar enough.  Equal texts are one item, told apart by a 64-bit
     hash.  Null text counts as empty; texts without words are alike.
     component_id is the smallest doc_id of the class, null if none has one; node
     is the text's hash, and kept marks the rows of one doc_id and text that
-    stands for the class: a row of component_id, of the smallest hash.
+    stands for the class: a row of component_id, of the smallest hash.  Rows of
+    null or repeated ids link like others, repeated rows repeat, other columns
+    are ignored.  No rows give no rows.
     """
     items = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("node"), text_of().alias("text"))
     owners = materialize(items.select("doc_id", "node"), "owners")
