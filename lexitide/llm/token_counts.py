@@ -49,6 +49,18 @@ def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     return docs.select(text_of().alias("text")).mapInArrow(run, "n_tokens long, docs long").groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
 
 
+def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """:func:`context_limits` for given limits, whether or not a document has such a length.
+
+    Limits repeat once; null and negative ones are ignored.  An empty histogram
+    gives no rows.
+    """
+    spark = histogram.sparkSession
+    wanted = spark.createDataFrame([(int(n), 0) for n in sorted({n for n in limits if n is not None and n >= 0})], "n_tokens long, docs long")
+    own = histogram.select("n_tokens", "docs").unionByName(wanted).groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
+    return context_limits(own).where("quantile is not null").join(F.broadcast(wanted.select("n_tokens")), "n_tokens", "left_semi")
+
+
 def context_limits(histogram: DataFrame) -> DataFrame:
     """One row for each length that occurs, as a context limit.
 
@@ -70,5 +82,5 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     return ge.select(
         "n_tokens", "docs", "tokens", "docs_ge", "tokens_ge",
         (F.col("all_t") - F.col("tokens_ge") + F.col("n_tokens") * F.col("docs_ge")).alias("truncated_tokens"),
-        ((F.col("all_d") - F.col("docs_ge") + F.col("docs")) / F.col("all_d")).alias("quantile"),
+        F.try_divide(F.col("all_d") - F.col("docs_ge") + F.col("docs"), F.col("all_d")).alias("quantile"),
     )

@@ -51,13 +51,13 @@ def test_piece_parity(texts):
     import sentencepiece
 
     path = pieces.default_model()
-    own = pieces.codec(path, 1, True)
+    own = pieces.codec(path, 2, True)
     texts = [t.encode("utf-8", "replace").decode() for t in texts]
     got = own.encode(texts)
     reference = sentencepiece.SentencePieceProcessor(model_file=path)
     for t, (ids, same) in zip(texts, got):
         assert np.frombuffer(ids, "<i4").tolist() == reference.encode(t) and same
-        assert own.decode(ids) == t.replace("▁", " ")
+        assert own.decode([ids]) == [t.replace("▁", " ")] and own.whole(t, ids)
 
 
 def test_piece_query(spark):
