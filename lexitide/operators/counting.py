@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +15,10 @@ from ..functions import text
 from ..functions.numbers import normalized_frequency
 
 
+#: Words of a lemma table; a dictionary of a language has fewer.
+LEMMAS = 2_000_000
+
+
 def cleaned(articles: DataFrame) -> DataFrame:
     """(article_id, publication_year, clean) of articles with words left; a null year drops out.
 
@@ -33,20 +42,41 @@ def year_totals(clean: DataFrame) -> DataFrame:
 def tokens(clean: DataFrame, config: AnalysisConfig, lemmas: DataFrame | None = None) -> DataFrame:
     """(article_id, publication_year, tokens): words after contractions, lemmas (word, lemma) and stop words.
 
-    Without ``lemmas`` words are their own lemmas.  A lemma table is joined to
-    the distinct words' occurrences and the order is restored within each text.
+    Without ``lemmas`` words are their own lemmas, as are words that the table
+    lacks.  Tokens are looked up where they are, without a shuffle.
     """
     body = text.split_contractions(F.col("clean")) if config.contractions else F.col("clean")
     out = clean.select("article_id", "publication_year", text.words(body).alias("tokens"))
     if lemmas is not None:
-        said = out.withColumn("_row", F.struct("article_id", "publication_year", F.xxhash64("tokens"))).select("_row", F.posexplode("tokens").alias("at", "word"))
-        named = said.join(lemmas.groupBy("word").agg(F.min("lemma").alias("lemma")), "word", "left").select("_row", F.struct("at", F.coalesce("lemma", "word").alias("w")).alias("x"))
-        out = named.groupBy("_row").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("_row.article_id", "_row.publication_year", F.col("xs.w").alias("tokens"))
+        out = lemmatised(out, lemmas)
     if config.stop_words:
         out = out.withColumn("tokens", text.without_stop_words(F.col("tokens")))
     return out
 
 
+def lemmatised(rows: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """(article_id, publication_year, tokens) with each token replaced by its lemma; the smallest where the table has several.
+
+    The table is broadcast as a dictionary of at most LEMMAS words, an error
+    beyond.  Each batch looks up its distinct tokens only.
+    """
+    table = lemmas.where("word is not null and lemma is not null").groupBy("word").agg(F.min("lemma").alias("lemma")).limit(LEMMAS + 1).toArrow()
+    if len(table) > LEMMAS:
+        raise ValueError(f"a lemma table has at most {LEMMAS} words")
+    shared = rows.sparkSession.sparkContext.broadcast(dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        for batch in batches:
+            lists = batch.column(2)
+            words = lists.flatten().dictionary_encode()
+            named = pa.array([get(w, w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), named)], batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def occurrences(tokens_: DataFrame, config: AnalysisConfig) -> DataFrame:
     """(article_id, publication_year, ngram), one row for each occurrence."""
     return tokens_.select("article_id", "publication_year", F.explode(text.ngrams(F.col("tokens"), *config.ngram_range)).alias("ngram"))
@@ -83,9 +113,9 @@ def article_mapping(occurrences_: DataFrame) -> DataFrame:
     return occurrences_.select("ngram", "article_id").distinct()
 
 
-def article_sets(mapping: DataFrame) -> DataFrame:
-    """(ngram, article_ids): sorted arrays, for n-grams known to be rare enough for one."""
-    return mapping.groupBy("ngram").agg(F.array_sort(F.collect_set("article_id")).alias("article_ids"))
+def article_sets(mapping: DataFrame, span: int = 65_536) -> DataFrame:
+    """(ngram, part, article_ids): sorted arrays; part p holds the ids from p * span on, so none has more than ``span`` of them."""
+    return mapping.groupBy("ngram", F.floor(F.col("article_id") / span).alias("part")).agg(F.array_sort(F.collect_set("article_id")).alias("article_ids"))
 
 
 def frequencies(counts: DataFrame, totals: DataFrame, per: int = 1000) -> DataFrame:

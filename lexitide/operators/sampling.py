@@ -28,3 +28,10 @@ def batch_number(rank: str, size: int):
 def page(ordered: DataFrame, size: int, offset: int, rank: str = "random_rank") -> DataFrame:
     """Rows offset+1 to offset+size by rank: a range of ranks, so earlier rows are pruned and nothing is sorted."""
     return ordered.where((F.col(rank) > offset) & (F.col(rank) <= offset + size))
+
+
+def store_order(ids: DataFrame, root: str, seed: int = 42) -> None:
+    """Replaces the stored order of articles (article_id) by a new one; without articles it is an empty table."""
+    from ..sources.sinks import replace_table
+
+    replace_table(root, "articles_order", random_order(ids, seed).sortWithinPartitions("article_id"))

@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import AnalysisConfig
+from ..config import AnalysisConfig, IngestConfig
 from ..functions import ids, text
-from ..functions.numbers import page_count
+from ..functions.numbers import eta_seconds, page_count
 from ..operators import counting, dedupe, normalize, sampling, shards, variation
+from ..schema import TABLES, WORK_DDL, struct
 from ..sources import pages, sinks
 from ..sources.scan import scan
 from .analysis import TemporalAnalysis
@@ -77,7 +78,7 @@ def word_count_by_year(spark, sf_dir):
   union all select y, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w)
  select g as ngram, y as publication_year, count(*) as count from t group by 1, 2""")
 def ngram_year_counts(spark, sf_dir):
-    return counting.year_counts(_analysis(spark, sf_dir, ngram_range=(1, 3)).occurrences)
+    return _analysis(spark, sf_dir, ngram_range=(1, 3)).counts
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -90,7 +91,7 @@ for _whole, _parts in text.CONTRACTIONS.items():
  t as (select y, unnest(w) as g from w union all select y, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w)
  select g as ngram, y as publication_year, count(*) as count from t group by 1, 2""")
 def ngram_stopword_counts(spark, sf_dir):
-    return counting.year_counts(_analysis(spark, sf_dir, ngram_range=(1, 2), stop_words=True, contractions=True).occurrences)
+    return _analysis(spark, sf_dir, ngram_range=(1, 2), stop_words=True, contractions=True).counts
 
 
 @query(f"with {_WORDS} select g as ngram, count(*) as total_frequency, count(distinct y)::int as years_present from t group by 1")
@@ -125,21 +126,21 @@ def ngram_articles(spark, sf_dir):
     return counting.article_mapping(_analysis(spark, sf_dir).occurrences)
 
 
-@query(f"with {_WORDS}, p as (select distinct g, doc_id from t) select g as ngram, string_agg(doc_id::varchar, ',' order by doc_id) as article_ids from p group by 1 having count(*) <= 50")
-def rare_ngram_article_sets(spark, sf_dir):
-    """Sorted id arrays of n-grams of at most 50 articles; frequent ones are too long for an array."""
-    pairs = counting.article_mapping(_analysis(spark, sf_dir).occurrences)
-    rare = pairs.groupBy("ngram").agg(F.count("*").alias("n")).where("n <= 50").select("ngram")
-    return counting.article_sets(pairs.join(rare, "ngram", "left_semi")).select("ngram", F.array_join(F.col("article_ids").cast("array<string>"), ",").alias("article_ids"))
+@query(f"with {_WORDS}, p as (select distinct g, doc_id from t) select g as ngram, doc_id // 65536 as part, string_agg(doc_id::varchar, ',' order by doc_id) as article_ids from p group by 1, 2")
+def ngram_article_sets(spark, sf_dir):
+    """Sorted id arrays of all n-grams; a frequent one has several, one for each 65,536 ids."""
+    found = counting.article_sets(counting.article_mapping(_analysis(spark, sf_dir).occurrences))
+    return found.select("ngram", "part", F.array_join(F.col("article_ids").cast("array<string>"), ",").alias("article_ids"))
 
 
-@query(f"with {_WORDS} select regexp_replace(g, '(ing|ed)$', '') as ngram, y as publication_year, count(*) as count from t where regexp_replace(g, '(ing|ed)$', '') <> '' group by 1, 2")
+@query(f"""with {_DOCS}, w as (select y, list_transform(string_split(c, ' '), lambda x: coalesce(nullif(regexp_replace(x, '(ing|ed)$', ''), ''), x)) as w from d where c <> ''),
+ t as (select y, unnest(w) as g from w union all select y, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w)
+ select g as ngram, y as publication_year, count(*) as count from t group by 1, 2""")
 def lemmatised_counts(spark, sf_dir):
     found = articles(spark, sf_dir)
     said = counting.cleaned(found).select(F.explode(text.words(F.col("clean"))).alias("word")).distinct()
-    lemmas = said.select("word", F.regexp_replace("word", "(ing|ed)$", "").alias("lemma"))
-    own = TemporalAnalysis(found, CONFIG, lemmas=lemmas)
-    return own.counts.where("ngram <> ''")
+    lemmas = said.select("word", F.regexp_replace("word", "(ing|ed)$", "").alias("lemma")).where("lemma not in ('', word)")
+    return TemporalAnalysis(found, CONFIG.with_(ngram_range=(1, 2)), lemmas=lemmas).counts
 
 
 @query("select count(*) as with_year, sum(o_totalprice)::bigint as price, max(cast(year(o_orderdate) as int)) as last_year from orders")
@@ -151,35 +152,79 @@ def scalar_totals(spark, sf_dir):
     return with_scalars(counted, orders.agg(F.max(F.year("o_orderdate")).alias("last_year")))
 
 
-@query()
+# Quantiles of Beta(a, b) for whole a and b: its distribution function is a binomial sum, bisected here.
+_Q = """{name} as (select 0 as i, a, b, p, 0::double as lo, 1::double as hi, 0.5::double as mid from (select distinct a, b from {pairs}), (select unnest([0.025::double, 0.975::double]) as p)
+  union all select i + 1, a, b, p, if(f < p, mid, lo), if(f < p, hi, mid), if(f < p, mid + hi, lo + mid) / 2
+  from (select *, 1 - list_sum(list_transform(range(0, a), lambda k: exp(lgamma(a + b) - lgamma(k + 1) - lgamma(a + b - k) + k * ln(mid) + (a + b - 1 - k) * ln(1 - mid)))) as f from {name} where i < 70)),
+ {name}_at as (select a, b, max(mid) filter (p < 0.5) as low, max(mid) filter (p > 0.5) as high from {name} where i = 70 group by 1, 2)"""
+_STATS = (
+    f"with recursive {_FREQ.removeprefix('with ')}, bp as (select distinct k + 1 as a, tot.n - k + 1 as b from n join tot using (y)), "
+    + _Q.format(name="bq", pairs="bp")
+    + """, bounds as (select g, f.y, k, f.f, tot.n as words, low * 1000 as lower, high * 1000 as upper from f join tot using (y) join bq_at on a = k + 1 and b = tot.n - k + 1),
+ sizes as (select count(*) filter (c <> '') as processed, count(*) as total from d),
+ g as (select g, sum(k)::bigint as c, count(*)::int as years from n group by 1),
+ gp as (select distinct c + 1 as a, processed - c + 1 as b from g, sizes where processed - c + 1 > 0), """
+    + _Q.format(name="gq", pairs="gp")
+    + """, power as (select g, c, years, high * total as upper, coalesce(high * total > 10, false) as has_power from g cross join sizes left join gq_at on a = c + 1 and b = processed - c + 1),
+ seen as (select g, count(*) as present, max(upper) as u, min(lower) as l from bounds group by 1),
+ fold as (select g, if(present < (select count(*) from tot), greatest(u, 975), u) / if(present < (select count(*) from tot), least(l, 25), l) as fold from seen)"""
+)
+
+
+def _reasons(fold: float) -> str:
+    return f", pruned as (select g, case when years < 3 then 'insufficient_years' when not has_power then 'no_statistical_power' when fold < {fold} then 'no_fold_change' end as reason from power join fold using (g))"
+
+
+_FINAL = (
+    _STATS
+    + _reasons(2.0)
+    + """, fp as (select distinct c + 1 as a, greatest(1, processed - c + 1) as b from g, sizes), """
+    + _Q.format(name="fq", pairs="fp")
+    + """, peaks as (select g, max(f) as max_frequency, min(f) as min_frequency, max_by(struct_pack(y := y, l := lower, u := upper), (f, -y)) as top, min_by(struct_pack(y := y, l := lower, u := upper), (f, y)) as dip,
+   count(*)::int as years_present, sum(k)::bigint as total_frequency, string_agg(y || ':' || printf('%.6f', f), ',' order by y) as yearly_frequencies from bounds where g in (select g from pruned where reason is null) group by 1 having count(*) >= 2),
+ final as (select g as ngram, max_frequency / min_frequency as fold_change, top.l / dip.u as fold_change_ci_lower, top.u / dip.l as fold_change_ci_upper, max_frequency, min_frequency, top.y as max_year, dip.y as min_year, years_present, total_frequency,
+   years_present as document_frequency, low * total as estimated_total_count_lower, yearly_frequencies from peaks cross join sizes join fq_at on a = total_frequency + 1 and b = greatest(1, processed - total_frequency + 1)),
+ flagged as (select *, estimated_total_count_lower > 10 as sufficient_power, fold_change_ci_lower >= 2 and estimated_total_count_lower > 10 as statistically_significant from final)"""
+)
+#: Digits after the point to which columns that rest on quantiles are compared; upper ends of intervals are large.
+_ROUNDED = {"fold_change_ci_lower": 5, "fold_change_ci_upper": 3, "estimated_total_count_lower": 5}
+_EXPORTED = ", ".join(f"round({c}, {_ROUNDED[c]}) as {c}" if c in _ROUNDED else c for c in sinks.CSV_COLUMNS)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, _ROUNDED.get(c, 6)) for c in columns})
+
+
+@query(f"{_STATS} select g as ngram, y as publication_year, k as count, round(lower, 6) as freq_lower, round(upper, 6) as freq_upper from bounds")
 def year_bounds(spark, sf_dir):
-    return _analysis(spark, sf_dir).bounds.select("ngram", "publication_year", "count", "freq_lower", "freq_upper")
+    return _rounded(_analysis(spark, sf_dir).bounds.select("ngram", "publication_year", "count", "freq_lower", "freq_upper"), "freq_lower", "freq_upper")
 
 
-@query()
+@query(f"{_STATS} select g as ngram, c as total_frequency, years as years_present, round(upper, 6) as estimated_total_count_upper, has_power from power")
 def power_test(spark, sf_dir):
     own = _analysis(spark, sf_dir)
-    return variation.power(counting.global_counts(own.counts), own.sizes, own.config)
+    return _rounded(variation.power(counting.global_counts(own.counts), own.sizes, own.config), "estimated_total_count_upper")
 
 
-@query()
+@query(f"{_STATS}{_reasons(4.0)} select reason, count(*) as n from pruned where reason is not null group by 1")
 def prune_reasons(spark, sf_dir):
     return variation.reason_counts(_analysis(spark, sf_dir, min_fold_change=4.0).pruned)
 
 
-@query()
+@query(f"{_FINAL} select {_EXPORTED}, yearly_frequencies, sufficient_power, statistically_significant from flagged")
 def final_statistics(spark, sf_dir):
-    return _analysis(spark, sf_dir).results.withColumn("yearly_frequencies", F.to_json("yearly_frequencies"))
+    each = F.transform(F.map_entries("yearly_frequencies"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), F.format_string("%.6f", e["value"])))
+    return _rounded(_analysis(spark, sf_dir).results.withColumn("yearly_frequencies", F.array_join(each, ",")), *_ROUNDED)
 
 
-@query()
+@query(f"{_FINAL} select {_EXPORTED} from flagged where statistically_significant")
 def significant_export(spark, sf_dir):
-    return _analysis(spark, sf_dir).significant
+    return _rounded(_analysis(spark, sf_dir).significant, *_ROUNDED)
 
 
-@query()
+@query(f"{_FINAL} select ngram, y as year, f as normalized_frequency, fold_change, round(estimated_total_count_lower, 5) as estimated_total_count_lower, statistically_significant as significant from flagged join f on g = ngram")
 def timeseries_export(spark, sf_dir):
-    return sinks.time_series(_analysis(spark, sf_dir).results)
+    return _rounded(sinks.time_series(_analysis(spark, sf_dir).results), "estimated_total_count_lower")
 
 
 @query("select count(*) as total from documents join orders on doc_id = o_orderkey where lang = 'en' and text is not null and text <> ''")
@@ -193,14 +238,44 @@ def table_stats(spark, sf_dir):
     return table_counts({role: _table(spark, sf_dir, name) for role, name in roles.items()})
 
 
-@query("""select doc_id as article_id, cast(year(o_orderdate) as int) as publication_year, lang as language, cast(replace(source, 'src', '') as bigint) as source, cast(o_orderdate as date) as publication_date
- from documents join orders on doc_id = o_orderkey where year(o_orderdate) >= 1996 and lang = 'en' and text is not null and text <> ''""")
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as work records, several of one id, with the date of the order of the same number."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring("text", 1, 20).alias("title"))
+    dated = docs.join(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate"), "doc_id")
+    at = lambda prefix, c: F.concat(F.lit(BASE + prefix), c.cast("string"))
+    level = lambda name, n: F.struct(at(f"{name}s/", F.col("doc_id") % n).alias("id")).alias(name)
+    topic = F.struct(level("domain", 4), level("field", 26), level("subfield", 250))
+    own = {
+        "id": at("W", F.col("doc_id") % 300), "title": F.col("title"), "publication_year": F.year("o_orderdate"), "publication_date": F.date_format("o_orderdate", "yyyy-MM-dd"), "language": F.col("lang"),
+        "primary_location": F.when(F.col("doc_id") % 5 > 0, F.struct(F.struct(at("S", F.replace("source", F.lit("src"), F.lit(""))).alias("id")).alias("source"))), "primary_topic": topic,
+        "locations": F.array(F.struct((F.col("doc_id") % 2 == 0).alias("is_oa"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("landing_page_url"))),
+        "topics": F.array(F.struct(at("T", F.col("doc_id")).alias("id"), F.lit("t").alias("display_name"), F.lit(1.0).alias("score"), level("domain", 4), level("field", 26), level("subfield", 250))),
+    }
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in struct(WORK_DDL).fields if f.name not in own]
+    return dated.select(*[c.alias(n) for n, c in own.items()], *rest, F.lit("f").alias("_file"), F.col("doc_id").alias("_ordinal"))
+
+
+@query("""with r as (select *, row_number() over (partition by doc_id % 300 order by doc_id) as r from documents join orders on doc_id = o_orderkey where year(o_orderdate) >= 1996 and lang = 'en')
+ select doc_id % 300 as article_id, substr(text, 1, 20) as title, cast(year(o_orderdate) as int) as publication_year, cast(o_orderdate as date) as publication_date, cast(doc_id % 4 as int) as domain, cast(doc_id % 26 as int) as field, cast(doc_id % 250 as int) as subfield,
+  cast(doc_id % 4 as varchar) as domains, cast(doc_id % 26 as varchar) as fields, cast(doc_id % 250 as varchar) as subfields, case when doc_id % 2 = 0 then 'u' || doc_id end as url, lang as language,
+  case when doc_id % 5 > 0 then cast(replace(source, 'src', '') as bigint) else 0 end as source from r where r = 1""")
 def article_filter(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("lang = 'en' and text is not null and text <> ''")
-    dated = _table(spark, sf_dir, "orders").where(F.year("o_orderdate") >= 1996).select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
-    address = F.struct(F.struct(F.concat(F.lit(f"{BASE}S"), F.replace("source", F.lit("src"), F.lit(""))).alias("id")).alias("source")).alias("primary_location")
-    out = docs.select("doc_id", "lang", address).join(dated, "doc_id")
-    return out.select(F.col("doc_id").alias("article_id"), F.year("o_orderdate").alias("publication_year"), F.col("lang").alias("language"), ids.source_id(F.col("primary_location.source.id")).alias("source"), ids.publication_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("publication_date"))
+    """The articles table out of works: filters, the first accepted record of each id, all 13 columns."""
+    config = IngestConfig(early_date=1996)
+    made = normalize.tables(normalize.winners(_records(spark, sf_dir), config)[0], config)["articles"]
+    assert made.columns == struct(TABLES["articles"]).names
+    return made.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("domains", "fields", "subfields")})
+
+
+@query("select l_orderkey as article_id from lineitem union select o_orderkey from orders where o_orderstatus = 'F'")
+def union_distinct(spark, sf_dir):
+    parts = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_id")), _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("article_id"))
+    return dedupe.union_distinct(*parts)
+
+
+@query("select o_orderkey as batch, case when o_custkey > 0 then (20000 - o_custkey) / o_custkey * o_totalprice end as eta from orders")
+def eta(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch"), eta_seconds(F.col("o_custkey"), F.lit(20000), F.col("o_totalprice")).alias("eta"))
 
 
 _LINE = "l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
@@ -256,7 +331,8 @@ def missing_pages(spark, sf_dir):
 
 @query(f"with w as (select doc_id, string_split({_CLEAN}, ' ') as w from documents) select doc_id, array_to_string(w, ' ') as abstract, len(w)::int - 1 as last_position from w where len(list_distinct(w)) > 1")
 def inverted_index_roundtrip(spark, sf_dir):
-    said = scan(spark, f"{sf_dir}/documents.parquet", ["doc_id", "text"]).select("doc_id", F.posexplode(F.split(text.clean_text(F.col("text")), " ")).alias("p", "w"))
+    said = scan(spark, f"{sf_dir}/documents.parquet", ["doc_id", "text"]).repartition("doc_id")  # both groupings keep this partitioning: texts move once, tokens never
+    said = said.select("doc_id", F.posexplode(F.split(text.clean_text(F.col("text")), " ")).alias("p", "w"))
     index = said.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("idx"))
     return index.where(F.size("idx") > 1).select("doc_id", text.inverted_index_to_text("idx").alias("abstract"), text.last_position(F.col("idx")).alias("last_position"))
 

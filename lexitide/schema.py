@@ -40,6 +40,12 @@ KEYS = {
     "articles_concepts": ("article_id", "concept_id"), "articles_order": ("random_rank",),
 }
 
+#: Columns that queries look rows up by; files are sorted by them.
+INDEXES = {
+    "articles": ("publication_year", "domain", "field"), "authors": ("name", "gender"), "institutions": ("name", "country_code"),
+    "references": ("cites", "cited"), "articles_order": ("article_id",),
+}
+
 #: Tables whose counts are reported.
 COUNTED = ("articles", "authors", "institutions", "topics", "concepts", "references")
 

@@ -73,9 +73,26 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], MANIFEST_DDL)
 
 
-def write_pages(records: DataFrame, path: str, records_per_page: int = 200) -> None:
-    """Gzipped JSON lines of at most ``records_per_page`` records a file; _SUCCESS marks completion."""
+def write_pages(records: DataFrame, path: str, records_per_page: int = 200) -> int:
+    """Gzipped JSON lines of at most ``records_per_page`` records a file; returns and marks how many pages there are, last of all."""
+    spark = records.sparkSession
     records.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", records_per_page).json(path)
+    n = page_files(spark, path).count()
+    spark.createDataFrame([(n,)], "pages long").coalesce(1).write.mode("overwrite").json(f"{path}/DONE")
+    return n
+
+
+def pages_done(spark: SparkSession, path: str) -> int | None:
+    """The page count that a finished :func:`write_pages` left, None where it didn't finish."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = spark.read.schema("pages long").json(f"{path}/DONE").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return found and found.pages
 
 
 def missing_pages(shards: DataFrame, pages: DataFrame, page: int = 200) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dedupe import insert_ignore
-from ..schema import KEYS, TABLES, struct
+from ..schema import INDEXES, KEYS, TABLES, struct
 
 CSV_COLUMNS = "ngram fold_change fold_change_ci_lower fold_change_ci_upper max_frequency min_frequency max_year min_year years_present total_frequency document_frequency estimated_total_count_lower".split()
 
@@ -26,9 +29,15 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def append_new(root: str, name: str, incoming: DataFrame) -> None:
-    """Appends rows whose key the stored table lacks."""
+    """Appends rows whose key the stored table lacks.
+
+    Files are sorted by the table's indexed columns, so that a filter on the
+    first of them reads only the row groups whose range it meets.
+    """
     existing = read_table(incoming.sparkSession, root, name)
-    insert_ignore(existing, incoming, list(KEYS[name])).write.mode("append").parquet(f"{root}/{name}")
+    new = insert_ignore(existing, incoming, list(KEYS[name]))
+    order = INDEXES.get(name)
+    (new.sortWithinPartitions(*order) if order else new).write.mode("append").parquet(f"{root}/{name}")
 
 
 def replace_table(root: str, name: str, rows: DataFrame) -> None:
@@ -78,6 +87,28 @@ def insert_ignore_sql(kind: str, table: str, columns: list[str], conflict: list[
     return f"INSERT {'IGNORE' if kind == 'mysql' else 'OR IGNORE'} {into}"
 
 
+def insert_ignore_rows(rows: DataFrame, connect: Callable[[], object], kind: str, table: str, conflict: list[str] | None = None, batch: int = 10_000, mark: str = "?") -> None:
+    """Adds the rows whose key an external database lacks, through its own insert-ignore.
+
+    ``connect`` opens a DB-API connection on the executor; each partition
+    commits once, and a repeated task adds nothing twice.  ``mark`` is the
+    driver's placeholder.  Rows with arrays must be encoded before.
+    """
+    statement = insert_ignore_sql(kind, table, rows.columns, conflict).replace("?", mark)
+
+    def run(part: Iterator) -> None:
+        held = connect()
+        try:
+            cursor = held.cursor()
+            while chunk := [tuple(r) for r in islice(part, batch)]:
+                cursor.executemany(statement, chunk)
+            held.commit()
+        finally:
+            held.close()
+
+    rows.foreachPartition(run)
+
+
 def write_jdbc(rows: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, batch: int = 10_000) -> None:
     """Appends to an external database through Spark's JDBC writer."""
     rows.write.mode("append").option("batchsize", batch).jdbc(url, table, properties=properties or {})

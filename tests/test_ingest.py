@@ -96,7 +96,9 @@ def test_sinks(spark, tmp_path):
     assert sinks.insert_ignore_sql("postgresql", "t", ["a", "b"], ["a"]) == 'INSERT INTO "t" ("a", "b") VALUES (?, ?) ON CONFLICT ("a") DO NOTHING'
     assert sinks.insert_ignore_sql("mysql", "t", ["a"]) == "INSERT IGNORE INTO `t` (`a`) VALUES (?)"
     assert sinks.insert_ignore_sql("unknown", "t", ["a"]) == 'INSERT OR IGNORE INTO "t" ("a") VALUES (?)'
-    pages.write_pages(spark.range(5), str(tmp_path / "p"), 2)
+    assert pages.pages_done(spark, str(tmp_path / "p")) is None
+    made = pages.write_pages(spark.range(5), str(tmp_path / "p"), 2)
+    assert made == pages.pages_done(spark, str(tmp_path / "p")) >= 3
     files = os.listdir(tmp_path / "p")
     assert "_SUCCESS" in files and sum(f.endswith(".json.gz") for f in files) >= 3
     assert spark.read.json(str(tmp_path / "p")).count() == 5
@@ -117,3 +119,82 @@ def test_rest_source(spark):
     assert works.count() == 30
     recent = works.where("year = 2025 and subfield = '2' and oa_status in ('gold', 'green')")
     assert recent.rdd.getNumPartitions() == 2 and recent.count() == 12
+
+
+def test_contradictory_filters(spark):
+    import api_stub
+    from pyspark.sql.datasource import EqualTo, In
+
+    from lexitide.sources.rest import WorksReader, WorksSource
+
+    options = {"endpoint": "https://api.example", "first_year": "2024", "last_year": "2025", "split_at": "10", "page": "2", "opener": "api_stub:answer"}
+    for column, values in (("subfield", ("1", "2")), ("year", (2024, 2025)), ("year", (1990, 1990)), ("year", (1990, 2024))):
+        reader = WorksReader(options)
+        filters = [EqualTo((column,), v) for v in values]
+        assert list(reader.pushFilters(filters)) == filters and reader.partitions() == []
+    reader = WorksReader(options)
+    list(reader.pushFilters([In(("subfield",), ("1", "2")), EqualTo(("subfield",), "1"), EqualTo(("year",), 2024)]))
+    assert [(s.year, s.subfield) for s in reader.partitions()] == [(2024, "1")]
+    spark.sparkContext.addPyFile(api_stub.__file__)
+    spark.dataSource.register(WorksSource)
+    works = spark.read.format("works_api").options(**options).load()
+    assert works.where("subfield = '1' and subfield = '2'").count() == 0 and works.where("year = 1990").count() == 0
+
+
+def test_failures_are_tried_again(monkeypatch):
+    from urllib.error import HTTPError
+
+    from lexitide.sources.rest import WorksReader
+
+    waits, left = [], [HTTPError("u", 429, "slow down", {"Retry-After": "7"}, None), OSError("broken"), HTTPError("u", 503, "busy", {}, None)]
+
+    def answer(address):
+        if left:
+            raise left.pop(0)
+        return {"meta": {"count": 4}}
+
+    monkeypatch.setattr("lexitide.sources.rest.time.sleep", waits.append)
+    monkeypatch.setattr("lexitide.sources.rest.fetch", answer)
+    reader = WorksReader({"wait": "1"})
+    assert reader._count("x") == 4 and waits == [7, 2, 4]
+    left += [HTTPError("u", 404, "none", {}, None)]
+    with pytest.raises(HTTPError):
+        reader._count("x")
+    left += [OSError("broken")] * 2
+    with pytest.raises(OSError):
+        WorksReader({"retries": "1"})._count("x")
+
+
+def test_external_database(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "own.db")
+    with sqlite3.connect(path) as db:
+        db.execute('create table "topics" ("topic_id" integer primary key, "name" text)')
+
+    def connect():
+        import sqlite3
+
+        return sqlite3.connect(path, timeout=60)
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "late")], "topic_id long, name string").coalesce(1)
+    for more in (rows, rows.unionByName(spark.createDataFrame([(3, 'q"uote?')], rows.schema))):
+        sinks.insert_ignore_rows(more, connect, "sqlite", "topics", ["topic_id"], batch=2)
+    with sqlite3.connect(path) as db:
+        assert sorted(db.execute("select * from topics")) == [(1, "a"), (2, "b"), (3, 'q"uote?')]
+
+
+def test_jdbc(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/derby;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    sinks.write_jdbc(spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string"), url, "own", driver)
+    sinks.write_jdbc(spark.createDataFrame([(3, "c")], "id long, name string"), url, "own", driver)
+    got = sinks.read_jdbc(spark, url, 'select "id", "name" from own where "id" > 1', driver).collect()
+    assert sorted(tuple(r) for r in got) == [(2, "b"), (3, "c")]
+
+
+def test_stored_tables_are_sorted(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id as author_id", "cast(1000 - id as string) as name", "'' as orcid", "'f' as gender").repartition(2)
+    sinks.append_new(str(tmp_path), "authors", rows)
+    for file in {r.f for r in spark.read.parquet(f"{tmp_path}/authors").selectExpr("input_file_name() as f").collect()}:
+        names = [r.name for r in spark.read.parquet(file).coalesce(1).collect()]
+        assert names == sorted(names)

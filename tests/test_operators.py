@@ -82,6 +82,16 @@ def test_lemmas_and_stop_words(spark):
     lemmas = spark.createDataFrame([("cats", "cat"), ("sit", "sit")], "word string, lemma string")
     got = counting.tokens(clean, AnalysisConfig(), lemmas).first().tokens
     assert got == ["cat", "sit", "cat"]
+    twice = counting.cleaned(spark.createDataFrame([(1, 2000, "Alpha beta")] * 2 + [(None, 2000, "alpha")], ARTICLES))
+    config = AnalysisConfig(ngram_range=(1, 2), stop_words=False)
+    found = counting.occurrences(counting.tokens(twice, config, lemmas), config).groupBy("ngram").count().collect()
+    assert dict(map(tuple, found)) == {"alpha": 3, "beta": 2, "alpha beta": 2}
+    counting.LEMMAS, before = 1, counting.LEMMAS
+    try:
+        with pytest.raises(ValueError, match="at most 1"):
+            counting.lemmatised(twice, lemmas)
+    finally:
+        counting.LEMMAS = before
     assert EXAMPLE.min_fold_change == 4.0
 
 
@@ -95,3 +105,16 @@ def test_order_restricts_counts(spark):
 def test_top_breaks_ties(spark):
     df = spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", 3.0)], "ngram string, fold_change double")
     assert [r.ngram for r in variation.top(df, 2).collect()] == ["c", "a"]
+
+
+def test_article_sets_come_in_parts(spark):
+    pairs = spark.createDataFrame([("a", i) for i in (5, 1, 7, 1)] + [("b", 9)], "ngram string, article_id long")
+    got = {(r.ngram, r.part): r.article_ids for r in counting.article_sets(pairs, 5).collect()}
+    assert got == {("a", 0): [1], ("a", 1): [5, 7], ("b", 1): [9]}
+
+
+def test_stored_order_is_replaced(spark, tmp_path):
+    root = str(tmp_path)
+    for n in (6, 3, 0):
+        sampling.store_order(spark.range(n).select(F.col("id").alias("article_id")), root)
+        assert sorted(r.random_rank for r in sinks.read_table(spark, root, "articles_order").collect()) == list(range(1, n + 1))
