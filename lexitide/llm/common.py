@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import new_path, staged
+from ..operators.staging import discard, new_path, staged
 from ..sources.scan import scan
 
 materialize = staged
-__all__ = ["fits", "held", "join_checked", "materialize", "new_path", "release", "slices", "table", "text_of", "tokens_in"]
+__all__ = ["discard", "fits", "held", "join_checked", "materialize", "new_path", "release", "slices", "table", "text_of", "tokens_in"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

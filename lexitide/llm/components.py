@@ -10,11 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,16 +23,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "links",
     )
-    before = _mark(e)
-    while before[0]:
+    while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(near.select("u", F.col("m").alias("v"))).distinct(), "links")
-        after = _mark(e)
-        if after == before:
+        last, e = e, materialize(small.unionByName(near.select("u", F.col("m").alias("v"))).distinct(), "links")
+        # a round that changes nothing is the last: compared row by row, as both are distinct
+        same = e.join(last, ["u", "v"], "left_anti").isEmpty() and last.join(e, ["u", "v"], "left_anti").isEmpty()
+        discard(last)
+        if same:
             break
-        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
