@@ -331,7 +331,8 @@ def _verified(near: DataFrame, items: DataFrame, width: int, similarity: float)
     """The (a, b) whose texts' shingle sets are similar enough."""
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     texts = join_checked(items.select("node", "text"), wanted, "node", "left_semi")
-    sets = materialize(_shingle_sets(texts, width).groupBy("node").agg(F.max("marks").alias("marks")), "shingle-sets")
+    # both joins take the sets as the grouping has spread them: they are shuffled once
+    sets = _shingle_sets(texts, width).groupBy("node").agg(F.max("marks").alias("marks"))
     pairs = near.join(sets.select(F.col("node").alias("a"), F.col("marks").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("marks").alias("y")), "b")
     return materialize(_similar(pairs.select("a", "b", "x", "y"), similarity), "similar-pairs")
 
