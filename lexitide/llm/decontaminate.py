@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of, tokens_in
+from .common import release, slices, text_of, tokens_in
 
 MIN_MATCH, COVERAGE, BLOCK_BYTES = 5, 0.5, 16_000_000
 #: Place pairs and maximal matches that a comparison holds at once; more are taken in turns.
@@ -284,6 +284,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MI
             for batch in (part for whole in batches for part in slices(whole, where)):
                 texts = batch.column(where).cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array([not any(m >= coverage * items.sizes[i] for i, m, _ in items.cover(t or b"", coverage, False)) for t in texts], pa.bool_()))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -132,6 +132,8 @@ class Codec:
     """
 
     UNITS = 400_000
+    #: Characters of a long text that are encoded at once, and of texts in one call of the library: its encodings take some hundred bytes a piece.
+    CUT, CALL = 20_000, 250_000
 
     def __init__(self, path: str, threads: int = 2, check: bool = False):
         os.environ["RAYON_NUM_THREADS"] = str(threads)  # read when the library's pool of threads starts
@@ -140,6 +142,8 @@ class Codec:
         self.backend = build(self.model)
         inner = any(MARK in p.lstrip(MARK) for p, _, t in self.model.pieces if t in (NORMAL, USER))
         self.unit = re.compile("(?s).+" if inner else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        # a marker without a piece is unknown and may fuse with what stands before it
+        self.border = None if inner or not any(p == MARK and t in (NORMAL, USER) for p, _, t in self.model.pieces) else re.compile(f"(?<!{MARK}){MARK}")
         self.known: dict[str, bytes] = {}
         self.silent = np.array([t == CONTROL for _, _, t in self.model.pieces])
         self.reference, self.differ, self.by_unit = None, set(), False
@@ -156,6 +160,42 @@ class Codec:
             return (" " + text if text and self.model.dummy_prefix else text).replace(" ", MARK)
         return self.backend.normalizer.normalize_str(text)
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """An escaped text, or stretches of a long one that end where a unit does."""
+        at = 0
+        while at < len(text):
+            cut = self.border.search(text, at + self.CUT) if self.border else None
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers.  Nothing is kept from one call to the next."""
+        out = [bytearray() for _ in texts]
+        part, owners, size = [], [], 0
+        normalizer = self.backend.normalizer
+
+        def flush() -> None:
+            self.backend.normalizer = None  # the parts are escaped already
+            try:
+                for k, x in zip(owners, self.backend.encode_batch_fast(part, add_special_tokens=False)):
+                    out[k] += np.array(x.ids, "<i4").tobytes()
+            finally:
+                self.backend.normalizer = normalizer
+            part.clear()
+            owners.clear()
+
+        for k, text in enumerate(texts):
+            for stretch in self._parts(self.escaped(text)):
+                if part and size + len(stretch) > self.CALL:
+                    flush()
+                    size = 0
+                part.append(stretch)
+                owners.append(k)
+                size += len(stretch)
+        flush()
+        return [bytes(x) for x in out]
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool | None]]:
         """Each text's ids as little-endian 32-bit integers, and whether all its units' ids were found equal to the reference library's; None where nothing was compared."""
         units = [self.unit.findall(self.escaped(t)) for t in texts]
@@ -228,8 +268,8 @@ def encode(docs: DataFrame, model_path: str | None = None, threads: int | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, where, size=4_000_000):
-                ids = [x for x, _ in codec(path, threads).encode([t or "" for t in batch.column(where).to_pylist()])]
+            for batch in slices(whole, where):
+                ids = codec(path, threads).ids([t or "" for t in batch.column(where).to_pylist()])
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "token_ids"])

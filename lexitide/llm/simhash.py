@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_checked, materialize, slices, text_of
+from .common import join_checked, materialize, release, slices, text_of
 from .components import connected_components
 
 TREE_LIMIT = 4096
@@ -266,6 +266,7 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, width):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "marks"])
+        release()
 
     return texts.select("node", "text").mapInArrow(run, "node long, marks binary")
 
@@ -309,6 +310,7 @@ def _marked(texts: DataFrame, width: int, similarity: float) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum([len(f) for f in firsts])))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["node", "fp", "size", "firsts"])
+        release()
 
     return texts.select("node", "text").mapInArrow(run, "node long, fp long, size int, firsts array<long>")
 

@@ -173,5 +173,6 @@ def keep_clean(docs: DataFrame, weights: np.ndarray, intercept: float, config: T
         for batch in (part for whole in batches for part in slices(whole, where)):
             z = [w[grams(t or "")].sum(dtype=np.float64) + b for t in batch.column(where).to_pylist()]
             yield batch.filter(pa.array([x < 0 for x in z], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

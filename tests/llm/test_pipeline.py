@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 from conftest import DATA
 from rows import AWKWARD, docs_of
@@ -71,3 +75,44 @@ def test_near_copies_by_id_and_text(spark):
     assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(str(r) for r in (rows[0], rows[2], rows[4]))
     alone = corpus_pipeline.near_copies(spark, docs_of(spark, [(7, near(1)), (7, near(2)), (None, "b"), (None, "c")]), "").collect()
     assert [r.doc_id for r in alone].count(7) == 1 and len(alone) == 3
+
+
+def test_pieces_of_ever_new_words_take_bounded_memory():
+    """A worker that meets no word twice: what it holds beside its batch doesn't grow with the words it has met."""
+    code = """
+import resource
+import pyarrow as pa
+from pyspark.sql import types as T
+from lexitide.llm import pieces
+
+class Docs:
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    columns = schema.names
+
+    def drop(self, _):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+run = pieces.encode(Docs(), threads=2)
+batch = lambda k, n: pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([" ".join(f"w{k}x{i * 200 + j}" for j in range(200)) for i in range(n)])], Docs.columns)
+most = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+assert len(list(run(iter([batch(0, 100)])))) == 1
+first = most()
+assert sum(len(out) for out in run(batch(k, 500) for k in range(1, 9))) == 4000
+print(most() - first)
+"""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": here})
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 80, done.stdout
+
+
+def test_long_texts_are_cut_where_units_end():
+    import sentencepiece
+
+    path = pieces.default_model()
+    own, reference = pieces.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", " ", "a" * 70_000, " word  and\n" * 9_000, "▁" * 30_000, "é 日 " * 20_000, *[" ".join(f"x{i}" for i in range(n)) for n in (1, 9_000, 90_000)]]
+    assert [np.frombuffer(x, "<i4").tolist() for x in own.ids(texts)] == [reference.encode(t) for t in texts]
