@@ -303,11 +303,10 @@ def summarize(docs: DataFrame, model_path: str | None = None, threads: int | Non
 
     ids_sha256 is the hex SHA-256 of the ids as little-endian 32-bit integers;
     round_trip tells whether decoding gives the text back; parity whether the
-    SentencePiece library gives every unit of the text the same ids, null where
-    the model's units can't be compared; whole_parity whether it gives the whole
-    text the same ids, for ids divisible by ``whole_every``, else null.  Null
-    text counts as empty, null ids and repeated rows stay, other columns are
-    ignored.  No rows give no rows.
+    SentencePiece library gives the whole text the same ids, looked at in every
+    row and for every model; whole_parity repeats it for ids divisible by
+    ``whole_every`` and is null elsewhere.  Null text counts as empty, null ids
+    and repeated rows stay, other columns are ignored.  No rows give no rows.
     """
     path, threads = model_path or default_model(), _threads(docs, threads)
     names, types = ["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity", "whole_parity"], [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
@@ -315,12 +314,13 @@ def summarize(docs: DataFrame, model_path: str | None = None, threads: int | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, threads, True)
         for whole in batches:
-            for batch in slices(whole, 1, size=4_000_000):
+            for batch in slices(whole, 1):
                 docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                got = own.encode(texts)
-                back = own.decode([x for x, _ in got])
-                same = [own.whole(t, x) if d is not None and d % whole_every == 0 else None for d, t, (x, _) in zip(docs_, texts, got)]
-                cols = [docs_, [len(x) // 4 for x, _ in got], [hashlib.sha256(x).hexdigest() for x, _ in got], [b == t for b, t in zip(back, texts)], [y for _, y in got], same]
+                got = own.ids(texts)
+                back = own.decode(got)
+                same = [own.whole(t, x) for t, x in zip(texts, got)]
+                every = [y if d is not None and d % whole_every == 0 else None for d, y in zip(docs_, same)]
+                cols = [docs_, [len(x) // 4 for x in got], [hashlib.sha256(x).hexdigest() for x in got], [b == t for b, t in zip(back, texts)], same, every]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
         own.forget()
 

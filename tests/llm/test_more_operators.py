@@ -6,6 +6,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from rows import docs_of
@@ -242,6 +243,35 @@ def test_whole_text_parity(spark):
     assert {r.whole_parity for r in got if r.doc_id % 50} == {None}
 
 
+class Docs:
+    """Stands for documents: gives the function that runs in the workers."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_parity_of_every_whole_text(spark, tmp_path, monkeypatch):
+    """A normaliser that differs shows in whole texts only, and in any row; a model whose units can't be compared is compared too."""
+    made = [("<unk>", 0.0, 2), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)], *[(p, -1.0 - k, 1) for k, p in enumerate(["▁", "t", "h", "e", "▁the"])]]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in made)
+    data += field(2, field(3, 1) + field(35, 1) + field(40, 0) + field(41, 100_000) + field(42, 100_001) + field(43, 100_002)) + field(3, field(1, b"own") + field(3, 0) + field(4, 1) + field(5, 1))
+    path = f"{tmp_path}/own.model"
+    with open(path, "wb") as file:
+        file.write(data)
+    texts = ["the the", "the The", "", "  the  the ", "T"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 50, 51, None, 3]), pa.array(texts)], ["doc_id", "text"])
+    look = lambda p: [(r["parity"], r["whole_parity"]) for out in pieces.summarize(Docs(), p, 2)(iter([batch])) for r in out.to_pylist()]
+    for p in (path, None):
+        assert look(p) == [(True, None), (True, True), (True, None), (True, None), (True, None)]
+    plain = pieces.Codec.escaped
+    monkeypatch.setattr(pieces.Codec, "escaped", lambda self, text: plain(self, text.lower()))
+    for p in (path, None):
+        assert look(p) == [(True, None), (False, False), (True, None), (True, None), (False, None)]
+
+
 def test_word_pattern_of_licences():
     rng = random.Random(8)
     for _ in range(200):
