@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import AnalysisConfig, IngestConfig
 from ..functions import ids, text
 from ..functions.numbers import eta_seconds, page_count
-from ..operators import counting, dedupe, normalize, sampling, shards, variation
+from ..operators import counting, dedupe, grams, normalize, sampling, shards, variation
 from ..schema import TABLES, WORK_DDL, struct
 from ..sources import pages, sinks
 from ..sources.scan import scan
@@ -331,9 +331,8 @@ def missing_pages(spark, sf_dir):
 
 @query(f"with w as (select doc_id, string_split({_CLEAN}, ' ') as w from documents) select doc_id, array_to_string(w, ' ') as abstract, len(w)::int - 1 as last_position from w where len(list_distinct(w)) > 1")
 def inverted_index_roundtrip(spark, sf_dir):
-    said = scan(spark, f"{sf_dir}/documents.parquet", ["doc_id", "text"]).repartition("doc_id")  # both groupings keep this partitioning: texts move once, tokens never
-    said = said.select("doc_id", F.posexplode(F.split(text.clean_text(F.col("text")), " ")).alias("p", "w"))
-    index = said.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("idx"))
+    said = scan(spark, f"{sf_dir}/documents.parquet", ["doc_id", "text"]).select("doc_id", text.clean_text(F.col("text")).alias("clean"))
+    index = grams.inverted_index(said, "clean", "idx")
     return index.where(F.size("idx") > 1).select("doc_id", text.inverted_index_to_text("idx").alias("abstract"), text.last_position(F.col("idx")).alias("last_position"))
 
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexitide.config import EXAMPLE, AnalysisConfig
-from lexitide.operators import counting, dedupe, sampling, variation
+from lexitide.operators import counting, dedupe, grams, sampling, variation
+from lexitide.plans import catalogue
 from lexitide.plans.analysis import TemporalAnalysis, run_analysis
 from lexitide.sources import sinks
 
@@ -118,3 +119,20 @@ def test_stored_order_is_replaced(spark, tmp_path):
     for n in (6, 3, 0):
         sampling.store_order(spark.range(n).select(F.col("id").alias("article_id")), root)
         assert sorted(r.random_rank for r in sinks.read_table(spark, root, "articles_order").collect()) == list(range(1, n + 1))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inverted_indexes_are_made_in_place(spark, tmp_path, monkeypatch):
+    said = ["B a b", "", None, "one one", "12", "a b c a", "x y"]
+    docs = spark.createDataFrame([(7 if i in (0, 5) else i, t) for i, t in enumerate(said)], "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.inverted_index_roundtrip(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(6, "x y", 1), (7, "a b c a", 3), (7, "b a b", 2)]  # a shared id is two texts
+    assert "Aggregate" not in plan_of(found) and "Generate" not in plan_of(found)
+    clean = spark.createDataFrame([(1, "b a b"), (2, ""), (3, "a")], "id long, clean string")
+    for letters in (1, 100):
+        monkeypatch.setattr(grams, "LETTERS", letters)
+        assert sorted((i, dict(m)) for i, m in grams.inverted_index(clean, "clean", "idx").collect()) == [(1, {"a": [1], "b": [0, 2]}), (2, {}), (3, {"a": [0]})]
