@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import AnalysisConfig
 from ..functions import text
 from ..functions.numbers import normalized_frequency
+from .staging import staged
 
 
 #: Words of a lemma table; a dictionary of a language has fewer.
@@ -108,9 +109,20 @@ def global_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("ngram").agg(F.sum("count").alias("total_frequency"), F.count("*").cast("int").alias("years_present"))
 
 
-def article_mapping(occurrences_: DataFrame) -> DataFrame:
-    """(ngram, article_id), each pair once."""
-    return occurrences_.select("ngram", "article_id").distinct()
+def article_mapping(tokens_: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """(ngram, article_id), each pair once.
+
+    A row's n-grams are made distinct where it is, so pairs of an id of one row
+    are neither aggregated nor shuffled. Only the pairs of ids that several rows
+    share, or that are null, are made distinct across rows, after a shuffle.
+    """
+    mine = F.explode(F.array_distinct(text.ngrams(F.col("tokens"), *config.ngram_range))).alias("ngram")
+    shared = staged(tokens_.groupBy("article_id").agg(F.count("*").alias("n")).where("n > 1 or article_id is null").select(F.col("article_id").alias("shared_id")), "shared-ids")
+    if shared.isEmpty():
+        return tokens_.select(mine, "article_id")
+    same = F.col("article_id").eqNullSafe(F.col("shared_id"))
+    several = tokens_.join(shared, same, "left_semi").select(mine, "article_id").repartition("ngram", "article_id").distinct()
+    return tokens_.join(shared, same, "left_anti").select(mine, "article_id").union(several)
 
 
 def article_sets(mapping: DataFrame, span: int = 65_536) -> DataFrame:

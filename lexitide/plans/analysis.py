@@ -60,9 +60,18 @@ class TemporalAnalysis:
             eligible = counting.eligible(self.articles)
         return staged(with_scalars(processed, eligible), "sizes")
 
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return counting.tokens(self.clean, self.config, self.lemmas)
+
     @cached_property
     def occurrences(self) -> DataFrame:
-        return counting.occurrences(counting.tokens(self.clean, self.config, self.lemmas), self.config)
+        return counting.occurrences(self.tokens, self.config)
+
+    @cached_property
+    def mapping(self) -> DataFrame:
+        """(ngram, article_id) of all n-grams."""
+        return counting.article_mapping(self.tokens, self.config)
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -96,7 +105,7 @@ class TemporalAnalysis:
 
     @property
     def article_mapping(self) -> DataFrame:
-        return join_small(counting.article_mapping(self.occurrences), self.kept, "ngram", "left_semi")
+        return join_small(self.mapping, self.kept, "ngram", "left_semi")
 
     def run(self, export_to: str | None = None) -> DataFrame:
         """The final statistics; with ``export_to`` also both CSV files and the article mapping below it."""

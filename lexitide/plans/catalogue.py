@@ -123,13 +123,13 @@ def yearly_frequency_series(spark, sf_dir):
 
 @query(f"with {_WORDS} select distinct g as ngram, doc_id as article_id from t")
 def ngram_articles(spark, sf_dir):
-    return counting.article_mapping(_analysis(spark, sf_dir).occurrences)
+    return _analysis(spark, sf_dir).mapping
 
 
 @query(f"with {_WORDS}, p as (select distinct g, doc_id from t) select g as ngram, doc_id // 65536 as part, string_agg(doc_id::varchar, ',' order by doc_id) as article_ids from p group by 1, 2")
 def ngram_article_sets(spark, sf_dir):
     """Sorted id arrays of all n-grams; a frequent one has several, one for each 65,536 ids."""
-    found = counting.article_sets(counting.article_mapping(_analysis(spark, sf_dir).occurrences))
+    found = counting.article_sets(_analysis(spark, sf_dir).mapping)
     return found.select("ngram", "part", F.array_join(F.col("article_ids").cast("array<string>"), ",").alias("article_ids"))
 
 

@@ -136,3 +136,13 @@ def test_inverted_indexes_are_made_in_place(spark, tmp_path, monkeypatch):
     for letters in (1, 100):
         monkeypatch.setattr(grams, "LETTERS", letters)
         assert sorted((i, dict(m)) for i, m in grams.inverted_index(clean, "clean", "idx").collect()) == [(1, {"a": [1], "b": [0, 2]}), (2, {}), (3, {"a": [0]})]
+
+
+def test_pairs_of_an_article_are_distinct_in_place(spark):
+    config = AnalysisConfig(ngram_range=(1, 2), stop_words=False)
+    own = TemporalAnalysis(spark.createDataFrame([(1, 2000, "a b a b"), (2, 2000, "a")], ARTICLES), config)
+    assert sorted(map(tuple, own.mapping.collect())) == [("a", 1), ("a", 2), ("a b", 1), ("b", 1), ("b a", 1)]
+    assert "Aggregate" not in plan_of(own.mapping) and "Exchange" not in plan_of(own.mapping)
+    rows = [(1, 2000, "a b"), (1, 2001, "b a"), (2, 2000, "a a"), (None, 2000, "c"), (None, 2000, "c c"), (3, 2000, None)]
+    several = TemporalAnalysis(spark.createDataFrame(rows, ARTICLES), config)
+    assert sorted(map(tuple, several.mapping.collect()), key=str) == sorted([("a", 1), ("a b", 1), ("b", 1), ("b a", 1), ("a", 2), ("a a", 2), ("c", None), ("c c", None)], key=str)
