@@ -7,17 +7,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
 from ..functions import text
 from ..functions.numbers import normalized_frequency
+from . import grams
 from .staging import staged
 
 
 #: Words of a lemma table; a dictionary of a language has fewer.
 LEMMAS = 2_000_000
+#: Bytes of input tables whose n-grams of one length make a partition.
+SPREAD = 16_000_000
 
 
 def cleaned(articles: DataFrame) -> DataFrame:
@@ -55,16 +59,21 @@ def tokens(clean: DataFrame, config: AnalysisConfig, lemmas: DataFrame | None =
     return out
 
 
-def lemmatised(rows: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """(article_id, publication_year, tokens) with each token replaced by its lemma; the smallest where the table has several.
-
-    The table is broadcast as a dictionary of at most LEMMAS words, an error
-    beyond.  Each batch looks up its distinct tokens only.
-    """
+def lemma_table(lemmas: DataFrame) -> Broadcast[dict[str, str]]:
+    """Word -> lemma, the smallest where the table has several; at most LEMMAS words, an error beyond."""
     table = lemmas.where("word is not null and lemma is not null").groupBy("word").agg(F.min("lemma").alias("lemma")).limit(LEMMAS + 1).toArrow()
     if len(table) > LEMMAS:
         raise ValueError(f"a lemma table has at most {LEMMAS} words")
-    shared = rows.sparkSession.sparkContext.broadcast(dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist())))
+    return lemmas.sparkSession.sparkContext.broadcast(dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist())))
+
+
+def lemmatised(rows: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """(article_id, publication_year, tokens) with each token replaced by its lemma.
+
+    The table is broadcast (:func:`lemma_table`).  Each batch looks up its
+    distinct tokens only.
+    """
+    shared = lemma_table(lemmas)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
@@ -88,20 +97,37 @@ def year_counts(occurrences_: DataFrame) -> DataFrame:
     return occurrences_.groupBy("ngram", "publication_year").agg(F.count("*").alias("count"))
 
 
-def tally(articles: DataFrame, config: AnalysisConfig) -> DataFrame:
+def tally(articles: DataFrame, config: AnalysisConfig, lemmas: DataFrame | None = None) -> DataFrame:
     """(ngram, publication_year, count, words): :func:`year_counts` and the totals in one pass over the texts.
 
     Each eligible article also counts once under a null n-gram, with its words;
     under a null year too if it has no year or no words.
+
+    Arrow batches are counted by integer codes, in pieces of bounded size, and
+    only their counts become rows.  These are shuffled as they are: Spark's
+    partial aggregation before the shuffle would hold most n-grams of a split.
     """
     body = F.when(F.col("publication_year").isNotNull(), text.clean_text(F.col("abstract"))).otherwise(F.lit(""))
     base = articles.where(F.col("abstract").isNotNull() & (F.col("abstract") != "")).select("publication_year", body.alias("clean"))
     split = text.split_contractions(F.col("clean")) if config.contractions else F.col("clean")
-    tokens_ = text.words(split)
-    tokens_ = text.without_stop_words(tokens_) if config.stop_words else tokens_
-    made = base.select(F.when(F.col("clean") != "", F.col("publication_year")).alias("publication_year"), text.word_count(F.col("clean")).alias("n"), tokens_.alias("tokens"))
-    rows = made.select("publication_year", "n", F.explode(F.concat(text.ngrams(F.col("tokens"), *config.ngram_range), F.array(F.lit(None).cast("string")))).alias("ngram"))
-    return rows.groupBy("ngram", "publication_year").agg(F.count("*").alias("count"), F.sum(F.when(F.col("ngram").isNull(), F.col("n"))).alias("words"))
+    made = base.select(F.when(F.col("clean") != "", F.col("publication_year")).alias("publication_year"), text.word_count(F.col("clean")).alias("n"), split.alias("clean"))
+    run = grams.counter(*config.ngram_range, text.STOP_WORDS if config.stop_words else (), lemma_table(lemmas) if lemmas is not None else None)
+    rows = made.mapInArrow(run, f"ngram string, publication_year {made.schema['publication_year'].dataType.simpleString()}, count long, words long")
+    return spread(rows, config.ngram_range[1] - config.ngram_range[0] + 1, "ngram", "publication_year").groupBy("ngram", "publication_year").agg(F.sum("count").alias("count"), F.sum("words").alias("words"))
+
+
+def spread(rows: DataFrame, lengths: int, *keys: str) -> DataFrame:
+    """``rows`` shuffled by ``keys``; to more than spark.sql.shuffle.partitions where the tables read are so large that a task would hold too many."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    wanted = sum(s for s in sizes if s < 1 << 60) * lengths // SPREAD  # an unknown size is given as 2^63 - 1
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(wanted, *keys) if wanted > most else rows.repartition(*keys)
+
+
+def tallied_counts(tallied: DataFrame) -> DataFrame:
+    """(ngram, publication_year, count) out of :func:`tally`."""
+    return tallied.where("ngram is not null").select("ngram", "publication_year", "count")
 
 
 def global_counts(counts: DataFrame) -> DataFrame:

@@ -7,19 +7,20 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 #: Letters of the texts that are worked on at once, and rows of a batch that is given back.
 LETTERS, ROWS = 16_000_000, 500_000
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches in runs of rows whose texts have LETTERS in all, or of one row."""
+def pieces(batches: Iterable[pa.RecordBatch], column: int, letters: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose texts have so many letters in all, or of one row."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(ends):
-            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LETTERS, "right")))
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + letters, "right")))
             yield batch.slice(at, end - at)
             at = end
 
@@ -34,7 +35,7 @@ def encoded(clean: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return rows[said], codes[said], words.dictionary
 
 
-def inverted_index(texts: DataFrame, clean: str, name: str) -> DataFrame:
+def inverted_index(texts: DataFrame, clean: str, name: str, letters: int = LETTERS) -> DataFrame:
     """``texts`` with the map ``name`` (word -> positions, ascending) in place of the cleaned text.
 
     Each text is indexed where it is: no token is shuffled or sorted by Spark.
@@ -43,7 +44,7 @@ def inverted_index(texts: DataFrame, clean: str, name: str) -> DataFrame:
     rest = [c for c in texts.columns if c != clean]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, column):
+        for batch in pieces(batches, column, letters):
             rows, codes, words = encoded(batch.column(column))
             places = np.arange(len(rows)) - np.searchsorted(rows, rows)
             keys = rows * max(1, len(words)) + codes
@@ -59,7 +60,7 @@ def inverted_index(texts: DataFrame, clean: str, name: str) -> DataFrame:
     return texts.mapInArrow(run, f"{fields}, `{name}` map<string, array<int>>")
 
 
-def counter(low: int, high: int, stop_words: Iterable[str] = (), lemma: Callable[[str], str] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def counter(low: int, high: int, stop_words: Iterable[str] = (), lemmas: Broadcast[dict[str, str]] | None = None, letters: int = LETTERS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Arrow function from (publication_year, n, clean) to (ngram, publication_year, count, words), counted within each piece.
 
     Rows of a null n-gram count the texts of a year and sum up their ``n``.
@@ -75,9 +76,10 @@ def counter(low: int, high: int, stop_words: Iterable[str] = (), lemma: Callable
         named = lambda at: years.dictionary.take(pa.array(at, mask=at == width - 1))
         yield [pa.nulls(len(some), pa.string()), named(some), pa.array(texts[some]), pa.array(sums[some])]
         rows, codes, words = encoded(batch.column(2))
-        if lemma:
-            lemmas = pa.array([lemma(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
-            codes, words = lemmas.indices.to_numpy().astype(np.int64)[codes], lemmas.dictionary
+        if lemmas:
+            get = lemmas.value.get
+            named_words = pa.array([get(w, w) for w in words.to_pylist()], pa.string()).dictionary_encode()
+            codes, words = named_words.indices.to_numpy().astype(np.int64)[codes], named_words.dictionary
         if len(stops):
             kept = ~pc.is_in(words, stops).to_numpy(zero_copy_only=False)[codes]
             rows, codes = rows[kept], codes[kept]
@@ -106,7 +108,7 @@ def counter(low: int, high: int, stop_words: Iterable[str] = (), lemma: Callable
                 grams[order] = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
+        for batch in pieces(batches, 2, letters):
             for columns in of(batch):
                 yield pa.RecordBatch.from_arrays(columns, ["ngram", "publication_year", "count", "words"])
 

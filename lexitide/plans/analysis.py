@@ -38,23 +38,25 @@ class TemporalAnalysis:
     def clean(self) -> DataFrame:
         return counting.cleaned(self.chosen)
 
+    @property
+    def tally(self) -> DataFrame:
+        """Counts and totals of one pass; the texts are read once for both."""
+        return counting.tally(self.chosen, self.config, self.lemmas)
+
     @cached_property
     def tallied(self) -> DataFrame:
-        """Counts and totals of one pass; the texts are read once for both."""
-        return staged(counting.tally(self.chosen, self.config), "ngram-years")
+        return staged(self.tally, "ngram-years")
 
     @cached_property
     def totals(self) -> DataFrame:
         """One row a year, small whatever the corpus."""
-        if self.lemmas is not None:
-            return staged(counting.year_totals(self.clean), "year-totals")
         return self.tallied.where("ngram is null and publication_year is not null").select("publication_year", F.col("count").alias("year_doc_count"), F.col("words").alias("year_word_count"))
 
     @cached_property
     def sizes(self) -> DataFrame:
         """One row: documents processed and documents eligible."""
         processed = self.totals.agg(F.coalesce(F.sum("year_doc_count"), F.lit(0)).alias("processed"))
-        if self.lemmas is None and self.order is None:
+        if self.order is None:
             eligible = self.tallied.where("ngram is null").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
         else:
             eligible = counting.eligible(self.articles)
@@ -75,9 +77,7 @@ class TemporalAnalysis:
 
     @cached_property
     def counts(self) -> DataFrame:
-        if self.lemmas is not None:
-            return staged(counting.year_counts(self.occurrences), "ngram-years")
-        return self.tallied.where("ngram is not null").select("ngram", "publication_year", "count")
+        return counting.tallied_counts(self.tallied)
 
     @cached_property
     def frequencies(self) -> DataFrame:

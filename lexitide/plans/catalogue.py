@@ -78,7 +78,7 @@ def word_count_by_year(spark, sf_dir):
   union all select y, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w)
  select g as ngram, y as publication_year, count(*) as count from t group by 1, 2""")
 def ngram_year_counts(spark, sf_dir):
-    return _analysis(spark, sf_dir, ngram_range=(1, 3)).counts
+    return counting.tallied_counts(_analysis(spark, sf_dir, ngram_range=(1, 3)).tally)  # read once, so not staged
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)

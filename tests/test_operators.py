@@ -1,6 +1,8 @@
 import csv
 import glob
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,7 +127,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_inverted_indexes_are_made_in_place(spark, tmp_path, monkeypatch):
+def test_inverted_indexes_are_made_in_place(spark, tmp_path):
     said = ["B a b", "", None, "one one", "12", "a b c a", "x y"]
     docs = spark.createDataFrame([(7 if i in (0, 5) else i, t) for i, t in enumerate(said)], "doc_id long, text string").coalesce(1)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -133,9 +135,8 @@ def test_inverted_indexes_are_made_in_place(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, found.collect())) == [(6, "x y", 1), (7, "a b c a", 3), (7, "b a b", 2)]  # a shared id is two texts
     assert "Aggregate" not in plan_of(found) and "Generate" not in plan_of(found)
     clean = spark.createDataFrame([(1, "b a b"), (2, ""), (3, "a")], "id long, clean string")
-    for letters in (1, 100):
-        monkeypatch.setattr(grams, "LETTERS", letters)
-        assert sorted((i, dict(m)) for i, m in grams.inverted_index(clean, "clean", "idx").collect()) == [(1, {"a": [1], "b": [0, 2]}), (2, {}), (3, {"a": [0]})]
+    for letters in (1, 6, 100):  # texts alone, some together, all at once
+        assert sorted((i, dict(m)) for i, m in grams.inverted_index(clean, "clean", "idx", letters).collect()) == [(1, {"a": [1], "b": [0, 2]}), (2, {}), (3, {"a": [0]})]
 
 
 def test_pairs_of_an_article_are_distinct_in_place(spark):
@@ -146,3 +147,31 @@ def test_pairs_of_an_article_are_distinct_in_place(spark):
     rows = [(1, 2000, "a b"), (1, 2001, "b a"), (2, 2000, "a a"), (None, 2000, "c"), (None, 2000, "c c"), (3, 2000, None)]
     several = TemporalAnalysis(spark.createDataFrame(rows, ARTICLES), config)
     assert sorted(map(tuple, several.mapping.collect()), key=str) == sorted([("a", 1), ("a b", 1), ("b", 1), ("b a", 1), ("a", 2), ("a a", 2), ("c", None), ("c c", None)], key=str)
+
+
+def test_ngrams_are_counted_in_place(spark):
+    rows = [(1, 2000, "a b a b a"), (2, 2000, "b a"), (3, 2001, "A b!"), (4, None, "a b"), (5, 2001, "12"), (6, 2001, None), (7, 2001, "a")]
+    articles = spark.createDataFrame(rows, ARTICLES).coalesce(1)
+    config = AnalysisConfig(ngram_range=(1, 3), stop_words=False)
+    expected = {("a", 2000): 4, ("b", 2000): 3, ("a", 2001): 2, ("b", 2001): 1, ("a b", 2000): 2, ("b a", 2000): 3, ("a b", 2001): 1, ("a b a", 2000): 2, ("b a b", 2000): 1}
+    own = TemporalAnalysis(articles, config)
+    assert {(g, y): n for g, y, n in own.counts.collect()} == expected
+    assert sorted(map(tuple, own.totals.collect())) == [(2000, 2, 7), (2001, 2, 3)] and own.sizes.first().total == 6
+    plan = plan_of(own.tally)
+    assert "Generate" not in plan and "Aggregate" not in plan[plan.index("Exchange") :]  # nothing is aggregated before the shuffle
+    batch = pa.RecordBatch.from_pydict({"y": [2000, 2000, 2001, None, 2001], "n": [5, 2, 2, 0, 1], "clean": ["a b a b a", "b a", "a b", "", "a"]})
+    for letters in (1, 8, 1000):  # texts alone, some together, all at once
+        found = Counter()
+        for part in grams.counter(1, 3, letters=letters)(iter([batch])):
+            for g, y, n in zip(*(part.column(i).to_pylist() for i in range(3))):
+                found[g, y] += n
+        assert found == expected | {(None, 2000): 2, (None, 2001): 2, (None, None): 1}
+
+
+def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, 2000, f"w{i} a b") for i in range(3000)], ARTICLES).coalesce(1).write.parquet(f"{tmp_path}/a")
+    own = TemporalAnalysis(spark.read.parquet(f"{tmp_path}/a"), AnalysisConfig(ngram_range=(1, 2), stop_words=False))
+    few = own.tally.rdd.getNumPartitions()
+    monkeypatch.setattr(counting, "SPREAD", 500)
+    assert few <= 4 < 20 < own.tally.rdd.getNumPartitions()
+    assert own.tally.where("ngram = 'a b' and count = 3000").count() == 1
