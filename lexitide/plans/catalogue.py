@@ -140,7 +140,7 @@ def lemmatised_counts(spark, sf_dir):
     found = articles(spark, sf_dir)
     said = counting.cleaned(found).select(F.explode(text.words(F.col("clean"))).alias("word")).distinct()
     lemmas = said.select("word", F.regexp_replace("word", "(ing|ed)$", "").alias("lemma")).where("lemma not in ('', word)")
-    return TemporalAnalysis(found, CONFIG.with_(ngram_range=(1, 2)), lemmas=lemmas).counts
+    return counting.tallied_counts(TemporalAnalysis(found, CONFIG.with_(ngram_range=(1, 2)), lemmas=lemmas).tally)
 
 
 @query("select count(*) as with_year, sum(o_totalprice)::bigint as price, max(cast(year(o_orderdate) as int)) as last_year from orders")

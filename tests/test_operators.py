@@ -175,3 +175,13 @@ def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(counting, "SPREAD", 500)
     assert few <= 4 < 20 < own.tally.rdd.getNumPartitions()
     assert own.tally.where("ngram = 'a b' and count = 3000").count() == 1
+
+
+def test_lemmas_are_counted_in_place(spark):
+    articles = spark.createDataFrame([(1, 2000, "Cats sat, cat sat"), (1, 2000, "cats"), (2, None, "cats"), (3, 2001, "9")], ARTICLES)
+    lemmas = spark.createDataFrame([("cats", "cat"), ("cats", "kitten"), ("sat", None)], "word string, lemma string")
+    own = TemporalAnalysis(articles, AnalysisConfig(ngram_range=(1, 2), stop_words=False), lemmas=lemmas)
+    assert {(g, y): n for g, y, n in own.counts.collect()} == {("cat", 2000): 3, ("sat", 2000): 2, ("cat sat", 2000): 2, ("sat cat", 2000): 1}
+    assert own.sizes.first().asDict() == {"processed": 2, "total": 4}
+    plan = plan_of(own.tally)
+    assert "Generate" not in plan and "Aggregate" not in plan[plan.index("Exchange") :]
