@@ -91,7 +91,7 @@ for _whole, _parts in text.CONTRACTIONS.items():
  t as (select y, unnest(w) as g from w union all select y, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w)
  select g as ngram, y as publication_year, count(*) as count from t group by 1, 2""")
 def ngram_stopword_counts(spark, sf_dir):
-    return _analysis(spark, sf_dir, ngram_range=(1, 2), stop_words=True, contractions=True).counts
+    return counting.tallied_counts(_analysis(spark, sf_dir, ngram_range=(1, 2), stop_words=True, contractions=True).tally)
 
 
 @query(f"with {_WORDS} select g as ngram, count(*) as total_frequency, count(distinct y)::int as years_present from t group by 1")

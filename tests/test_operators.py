@@ -185,3 +185,13 @@ def test_lemmas_are_counted_in_place(spark):
     assert own.sizes.first().asDict() == {"processed": 2, "total": 4}
     plan = plan_of(own.tally)
     assert "Generate" not in plan and "Aggregate" not in plan[plan.index("Exchange") :]
+
+
+def test_stop_words_and_contractions_are_counted_in_place(spark):
+    articles = spark.createDataFrame([(1, 2000, "The cat cannot sing, gonna sing the cat"), (2, 2000, "the of"), (3, 2001, "scannot")], ARTICLES)
+    own = TemporalAnalysis(articles, AnalysisConfig(ngram_range=(1, 2), stop_words=True, contractions=True))
+    got = {(g, y): n for g, y, n in own.counts.collect()}
+    assert got == {("cat", 2000): 2, ("sing", 2000): 2, ("gon", 2000): 1, ("na", 2000): 1, ("cat sing", 2000): 1, ("sing gon", 2000): 1, ("gon na", 2000): 1, ("na sing", 2000): 1, ("sing cat", 2000): 1, ("scannot", 2001): 1}
+    assert sorted(map(tuple, own.totals.collect())) == [(2000, 2, 10), (2001, 1, 1)]  # words before contractions and stop words
+    plan = plan_of(own.tally)
+    assert "Generate" not in plan and "Aggregate" not in plan[plan.index("Exchange") :]
