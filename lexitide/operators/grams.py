@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 
 #: Letters of the texts that are worked on at once, and rows of a batch that is given back.
 LETTERS, ROWS = 16_000_000, 500_000
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package
+
 
 def pieces(batches: Iterable[pa.RecordBatch], column: int, letters: int) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows whose texts have so many letters in all, or of one row."""
